@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dup import near_duplicates
+from .substring_dedup import substring_dedup
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -16,6 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, windows of 13 words."""
+    return substring_dedup(_table(spark, sf_dir, "documents"), window=13, texts=False).withColumnRenamed("kept", "kept_sha256")
+
+
+OP5_SQL = f"""
+with w as (select doc_id, {WORDS.format(text="text")} w from documents),
+g as (select doc_id, unnest(range(1, len(w) - 11)) i, w from w),
+h as (select doc_id, i, array_to_string(w[i:i + 12], ' ') h from g),
+f as (select h, min(doc_id) f from h group by 1),
+r as (select doc_id, list_distinct(flatten(list(range(i, i + 13)))) r from h join f using (h) where f < doc_id group by 1),
+k as (select w.doc_id, len(w) n, coalesce(len(r), 0) m, case when r is null then w else list_filter(list_transform(range(1, len(w) + 1), lambda j: case when not list_contains(r, j) then w[j] end), lambda x: x is not null) end k from w left join r using (doc_id))
+select doc_id, n n_words, m::bigint n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from k
+"""
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, two-word shingles, 80 percent."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -35,5 +52,5 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, min(r.c) component_id, d.d
 from documents d left join n using (doc_id) left join reach r using (doc_id) group by d.doc_id, n.n
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_near_dup": op8_near_dup}
-ORACLES: dict[str, str] = {"op8_near_dup": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op8_near_dup": op8_near_dup}
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_near_dup": OP8_SQL}
