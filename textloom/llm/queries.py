@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dup import near_duplicates
+from .shared import shared_dir
 from .substring_dedup import substring_dedup
+from .token_store import read_tokens, write_tokens
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -33,6 +36,15 @@ select doc_id, n n_words, m::bigint n_removed, sha256(array_to_string(k, ' ')) k
 """
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the byte-level tokenizer, written to token files and read from them again."""
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path).drop("ids")
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, two-word shingles, 80 percent."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -52,5 +64,5 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, min(r.c) component_id, d.d
 from documents d left join n using (doc_id) left join reach r using (doc_id) group by d.doc_id, n.n
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op8_near_dup": op8_near_dup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup}
 ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_near_dup": OP8_SQL}
