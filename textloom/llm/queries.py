@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .near_dup import near_duplicates
 from .shared import shared_dir
 from .substring_dedup import substring_dedup
@@ -64,5 +65,10 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, min(r.c) component_id, d.d
 from documents d left join n using (doc_id) left join reach r using (doc_id) group by d.doc_id, n.n
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup}
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all vectors."""
+    return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann}
 ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_near_dup": OP8_SQL}
