@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .near_dup import near_duplicates
+from .quality import quality_classifier
 from .shared import shared_dir
 from .substring_dedup import substring_dedup
 from .token_store import read_tokens, write_tokens
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored; keep is false for what the classifier rejects."""
+    return quality_classifier(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "votes", "score", "keep")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, windows of 13 words."""
     return substring_dedup(_table(spark, sf_dir, "documents"), window=13, texts=False).withColumnRenamed("kept", "kept_sha256")
@@ -70,5 +76,5 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_quality": op3_quality, "op5_substring_dedup": op5_substring_dedup, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann}
 ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_near_dup": OP8_SQL}
