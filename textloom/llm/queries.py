@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
+from .chat import format_conversations, read_back
 from .near_dup import near_duplicates
 from .quality import quality_classifier
 from .shared import shared_dir
@@ -22,6 +24,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of marks, formatted and read back."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return read_back(format_conversations(turns.union(hard)))
+
+
+OP2_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *, length(role) + length(text) + 14 + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '###', ''))) // 3 + (length(text) - length(replace(text, '</turn>', ''))) // 7 as n from t)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256, sum(n)::bigint formatted_chars
+from e group by conv_id
+"""
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored; keep is false for what the classifier rejects."""
     return quality_classifier(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "votes", "score", "keep")
@@ -76,5 +95,5 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_quality": op3_quality, "op5_substring_dedup": op5_substring_dedup, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann}
-ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_near_dup": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op5_substring_dedup": op5_substring_dedup, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann}
+ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op8_near_dup": OP8_SQL}
