@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .shared import col, partitions, written
 
 TREES, DEPTH, ENOUGH = 12, 64, 400
@@ -60,30 +61,13 @@ def _shared_bits(sorted_strings: np.ndarray, query: np.uint64, floor: int) -> np
     return np.searchsorted(sorted_strings, high, "right") - np.searchsorted(sorted_strings, low, "left")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one (tree, prefix, block) after the other; the input is sorted by them."""
-    held, key = [], None
-    for batch in batches:
-        keys = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("tree", "prefix", "block")], axis=1)
-        cuts = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))), len(keys)) if len(keys) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            mine = tuple(keys[a])
-            if key is not None and mine != key:
-                yield pa.Table.from_batches(held)
-                held = []
-            key = mine
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     asks = np.asarray(table.column("asks"))
     return table.filter(pa.array(~asks)), table.filter(pa.array(asks))
 
 
 def _counts(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
-    for table in _groups(batches):
+    for table in K.grouped(batches, "tree", "prefix", "block"):
         rows, queries = _split(table)
         if not queries.num_rows:
             continue
@@ -93,7 +77,7 @@ def _counts(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.Record
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for table in _groups(batches):
+    for table in K.grouped(batches, "tree", "prefix", "block"):
         rows, queries = _split(table)
         if not (queries.num_rows and rows.num_rows):
             continue

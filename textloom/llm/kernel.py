@@ -65,7 +65,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str | int = "text") -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about CHUNK_BYTES of text; a longer text is a slice of its own."""
     _, offsets = raw(strings(batch.column(text)))
     at = 0
@@ -75,6 +75,25 @@ def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         at = end
 
 
+def grouped(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Table]:
+    """The rows of one group after the other; the input is sorted by these integer columns."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in columns], axis=1)
+        cuts = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))), len(keys))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = tuple(keys[a])
+            if key is not None and mine != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = mine
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Words(NamedTuple):
     data: np.ndarray  #: bytes of all texts, lower-cased if asked for
     first: np.ndarray  #: where each word starts in data

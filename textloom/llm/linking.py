@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -40,17 +40,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b")).distinct()
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], carried: list[str] | None = None, likely: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """(key, id, carried...) to (a, b): links that connect just what all verified pairs within keys connect.
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, id) to (a, b): links that connect just what all verified pairs within keys connect.
 
     members: written table; several rows of an id in a key do no harm.
-    verify: keeps the rows of an (a, b) table that are links.  likely(x, y): a cheap condition on the
-    carried columns of two members (aliases x and y) that holds for all links.
+    verify: keeps the rows of an (a, b) table that are links.
+    across: from (key, id, part, main) of the buckets that still hold several components, candidate
+    pairs that include, for every id outside its bucket's main component and every other component
+    that it has links to in the bucket, at least one of these links.
     """
-    carried = carried or []
-    one = members.select("key", "id")
-    pivots = one.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
-    pivots = written(pivots)
+    pivots = written(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high"))
     busy = written(members.join(pivots, "key"))
     pairs = busy.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("low").alias("b")), F.struct(F.col("high").alias("a"), F.col("id").alias("b")))).alias("p")).select("p.*").where("a != b").distinct()
     first = written(verify(pairs))
@@ -59,10 +58,5 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], carried:
     # The pivot's own component counts as the bucket's main one; whoever is outside it meets all the others.
     main = labelled.where("id = low").select("key", F.col("part").alias("main")).distinct()
     open_keys = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key")
-    labelled = written(labelled.join(open_keys, "key").join(main, "key").select("key", "id", "part", "main", *carried))
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    if likely is not None:
-        met &= likely("x", "y")
-    rest = labelled.where("part != main").alias("x").join(labelled.alias("y"), met)
-    rest = rest.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    return first.select("a", "b").union(written(verify(rest)).select("a", "b"))
+    labelled = written(labelled.join(open_keys, "key").join(main, "key").select("key", "id", "part", "main"))
+    return first.select("a", "b").union(written(verify(across(labelled).select("a", "b").distinct())).select("a", "b"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .linking import components, link
-from .shared import col, written
+from .shared import col, partitions, written
 
 PERMS, BITS, ROWS = 128, 2, 4
 BANDS = PERMS // ROWS
@@ -90,24 +90,77 @@ def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def likely(percent: int, n: str = "n", packed: str = "packed") -> "callable":
-    """The condition that the corrected estimate of two members may belong to a link."""
-    share = 2.0**-BITS
+def most_different(percent: int) -> int:
+    """The most bit groups in which packed signatures of a link may differ."""
     s = percent / 100
-    c = s + (1 - s) * share
+    c = s + (1 - s) * 2.0**-BITS
     least = max(0.0, c - SLACK * (c * (1 - c) / PERMS) ** 0.5)
-    most = int((1 - least) * PERMS) + 1
+    return int((1 - least) * PERMS) + 1
 
-    def condition(x: str, y: str) -> Column:
-        differ: Column = F.lit(0)
-        mask = int("01" * 32, 2)
-        for j in range(LONGS):
-            z = F.col(f"{x}.{packed}")[j].bitwiseXOR(F.col(f"{y}.{packed}")[j])
-            differ = differ + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(mask)))
-        a, b = F.col(f"{x}.{n}"), F.col(f"{y}.{n}")
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ <= most)
 
-    return condition
+_EVEN = int("01" * 32, 2)
+
+
+def estimated(percent: int, x: str, y: str) -> Column:
+    """The condition that the corrected estimate of rows x and y (of n and packed) may belong to a link."""
+    differ: Column = F.lit(0)
+    for j in range(LONGS):
+        z = F.col(f"{x}.packed")[j].bitwiseXOR(F.col(f"{y}.packed")[j])
+        differ = differ + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(_EVEN)))
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ <= most_different(percent))
+
+
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        short = [(np.frombuffer(x.as_buffer(), np.uint64) >> K.U(32)).astype(np.uint32).tobytes() for x in batch.column("names")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(short, pa.binary())], ["id", "short"])
+
+
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each group (key, block, row block): for each row that asks, one probable link to each other component."""
+    most = most_different(percent)
+    wide = lambda t, c, w: t.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, w)
+    for table in K.grouped(batches, "key", "block", "asking"):
+        asks = np.asarray(table.column("asks"))
+        if asks.all() or not asks.any():
+            continue
+        key = np.uint64(table.column("key")[0].as_py() & (1 << 64) - 1)
+        ids, part, main, n = (np.asarray(table.column(c)) for c in ("id", "part", "main", "n"))
+        packed, bands = wide(table, "packed", LONGS), wide(table, "bands", BANDS)
+        short = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("short").combine_chunks()]
+        codes = np.unique(np.concatenate(short), return_inverse=True)[1]
+        ends = np.cumsum([len(x) for x in short])
+        codes = np.split(codes, ends[:-1])
+        flags = np.zeros(max((int(c.max()) for c in codes), default=0) + 1, bool)
+        rows = np.flatnonzero(~asks)
+        band = int(np.flatnonzero(bands[rows[0]] == key)[0])
+        out = [], []
+        for o in np.flatnonzero(asks):
+            z = packed[rows] ^ packed[o]
+            differ = np.bitwise_count((z | z >> K.U(1)) & K.U(_EVEN)).sum(axis=1)
+            good = (part[rows] != part[o]) & ((part[rows] == main[o]) | (ids[rows] < ids[o])) & (differ <= most)
+            good &= 100 * np.minimum(n[rows], n[o]) >= percent * np.maximum(n[rows], n[o])
+            # Each pair is looked at in the first band that it shares.
+            good &= ~(bands[rows, :band] == bands[o, :band]).any(axis=1)
+            near = rows[good]
+            if not len(near):
+                continue
+            flags[codes[o]] = True
+            size = np.array([len(codes[r]) for r in near])
+            common = np.add.reduceat(flags[np.concatenate([codes[r] for r in near])], np.append(0, np.cumsum(size)[:-1]), dtype=np.int64)
+            flags[codes[o]] = False
+            near = near[100 * common >= percent * (n[near] + n[o] - common)]
+            _, one = np.unique(part[near], return_index=True)
+            for r in near[one]:
+                out[0].append(max(ids[o], ids[r]))
+                out[1].append(min(ids[o], ids[r]))
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in out], ["a", "b"])
+
+
+#: Rows of one bucket that a task compares at once.
+BLOCK = 2048
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -119,13 +172,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so thousands of copies cost one signature.  A null id takes no part in links (component null,
     kept).  Repeated rows stay rows; both get the id's component.  Other columns are not looked at.
     """
-    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
     schema = rows.select("id").schema.simpleString()[len("struct<") : -1]
     sketch = rows.mapInArrow(lambda it: _sketch(it, shingle), f"{schema}, n bigint, h1 bigint, h2 bigint, bands array<bigint>, packed array<bigint>")
     sketch = written(sketch)
     used = sketch.where("n > 0 and id is not null")
     classes = written(used.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("packed").alias("packed")))
-    members = classes.select(F.explode("bands").alias("key"), "id", "n", "packed")
+    members = classes.select(F.explode("bands").alias("key"), "id")
     keys = members.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p != q").select("key")
     members = written(members.join(keys, "key"))
     wanted = members.select("id").distinct()
@@ -136,14 +189,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(names.select(F.col("id").alias("a"), F.col("names").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("names").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(lambda it: _links(it, percent), pairs.select("a", "b").schema)
 
-    estimate = likely(percent)
     packed = classes.select("id", "n", "packed")
 
-    def estimated(pairs: DataFrame) -> DataFrame:
+    def checked(pairs: DataFrame) -> DataFrame:
         near = pairs.alias("p").join(packed.alias("x"), F.col("p.a") == F.col("x.id")).join(packed.alias("y"), F.col("p.b") == F.col("y.id"))
-        return verify(near.where(estimate("x", "y")).select("p.a", "p.b"))
-
-    part = components(link(members, estimated, ["n", "packed"], estimate))
+        return verify(near.where(estimated(percent, "x", "y")).select("p.a", "p.b"))
+
+    def across(rows: DataFrame) -> DataFrame:
+        size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("part") != F.col("main")) / BLOCK).alias("askings"))
+        payload = classes.join(names.mapInArrow(_short, f"{schema}, short binary"), "id").select("id", "n", "packed", "bands", "short")
+        rows = written(rows.join(size, "key").join(payload, "id"))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        held = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("asking", each("askings")).withColumn("asks", F.lit(False))
+        asks = rows.where("part != main").withColumn("asking", F.pmod(F.xxhash64("id"), "askings")).withColumn("block", each("blocks")).withColumn("asks", F.lit(True))
+        both = held.unionByName(asks).drop("blocks", "askings")
+        both = both.repartition(partitions(docs.sparkSession), "key", "block", "asking").sortWithinPartitions("key", "block", "asking")
+        return both.mapInArrow(lambda it: _across(it, percent), "a bigint, b bigint")
+
+    part = components(link(members, checked, across))
     # An id can have several rows with different texts: all their classes then hang together through the id.
     labels = used.join(classes.select("n", "h1", "h2", F.col("id").alias("first")), ["n", "h1", "h2"]).join(part, F.col("first") == part["id"], "left").select(used["id"], F.coalesce("component", "first").alias("component_id"))
     labels = labels.groupBy("id").agg(F.min("component_id").alias("component_id"))
