@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .chat import format_conversations, read_back
+from .mixing import mix
 from .near_dup import near_duplicates
 from .quality import quality_classifier
 from .shared import shared_dir
+from .sharding import shard_index
 from .substring_dedup import substring_dedup
 from .token_store import read_tokens, write_tokens
 
@@ -62,6 +64,36 @@ select doc_id, n n_words, m::bigint n_removed, sha256(array_to_string(k, ' ')) k
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; sources weigh 3, 1, 2 by turns and share 150 percent of all words, twice their own at most."""
+    return mix(_table(spark, sf_dir, "documents")).drop("source")
+
+
+OP6_SQL = f"""
+with d as (select doc_id, source, len({WORDS.format(text="text")})::bigint size, md5(doc_id::varchar) k from documents),
+s as (select source, sum(size)::bigint source_size from d group by 1),
+p as (select *, row_number() over (order by source is null, encode(source)) - 1 place from s),
+w as (select *, case place % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end weight, 2.0::double * source_size cap from p),
+l as (select *, sum(source_size) over () as all_words, coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0) before, sum(weight) over (order by cap / weight, place rows between current row and unbounded following) rest from w),
+v as (select *, (1.5::double * all_words - before) / rest as level from l),
+m as (select min(level) filter (where level * weight < cap) level from v),
+t as (select v.source, v.source_size, v.place, case when m.level is null or m.level * v.weight >= v.cap then v.cap else m.level * v.weight end target from v, m),
+o as (select d.*, t.source_size, t.place, t.target, (sum(size) over (partition by d.source order by k, doc_id rows between unbounded preceding and current row) - size)::bigint ofs from d join t on d.source is not distinct from t.source),
+q as (select *, greatest(0, least(size, floor(target)::bigint - ofs)) + greatest(0, least(size, floor(target)::bigint - ofs - source_size)) taken from o),
+z as (select *, ofs / target x from q)
+select doc_id, size, source_size, target, taken::bigint taken, case when taken > 0 then least(1.0, case place % 3
+  when 0 then x
+  when 1 then 2 * x / (0.5 + sqrt(0.25 + 2 * x))
+  else case when x <= 0.625 then 2 * x / (1.5 + sqrt(greatest(0, 2.25 - 2 * x))) else 0.5 + 2 * (x - 0.625) / (1 + sqrt(greatest(0, 1 - 2 * (x - 0.625)))) end end) end as position
+from z
+"""
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards, by the law of equal row counts."""
+    return shard_index(_table(spark, sf_dir, "documents"), shards=16)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by the byte-level tokenizer, written to token files and read from them again."""
     import public_tokenizers
@@ -95,5 +127,5 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op5_substring_dedup": op5_substring_dedup, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann}
-ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op8_near_dup": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op5_substring_dedup": op5_substring_dedup, "op6_mixing": op6_mixing, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann, "op10_sharding": op10_sharding}
+ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op8_near_dup": OP8_SQL}
