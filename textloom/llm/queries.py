@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .chat import format_conversations, read_back
+from .decontaminate import COVERED, LITERALS, UNITS, WINDOW, decontamination
 from .mixing import mix
 from .near_dup import near_duplicates
 from .quality import quality_classifier
@@ -48,6 +49,31 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "votes", "score", "keep")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    return decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _templates(table: str, key: str) -> str:
+    base = rf"regexp_replace(trim(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])[.,]([0-9])', '\1\2', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')), '([0-9])({UNITS})( |$)', '\1 \2\3', 'g')"
+    form = rf"lower(regexp_replace(regexp_replace(regexp_replace(b, '([0-9]) ({UNITS})( |$)', '\1 <unit>\3', 'g'), '(^| )\p{{Lu}}[^ ]*', '\1<name>', 'g'), '(^| )[0-9][^ ]*', '\1<num>', 'g'))"
+    return f"select {key} k, string_split(b, ' ') b, string_split({form}, ' ') s from (select {key}, {base} b from {table})"
+
+
+OP4_SQL = f"""
+with d as ({_templates("documents", "doc_id")}), i as ({_templates("benchmark", "item_id")}),
+dw as (select k, p, s[p:p + {WINDOW - 1}] w, b[p:p + {WINDOW - 1}] v from (select *, unnest(range(1, len(s) - {WINDOW - 2})) p from d)),
+iw as (select k, q, n, s[q:q + {WINDOW - 1}] w, b[q:q + {WINDOW - 1}] v from (select *, len(s) n, unnest(range(1, len(s) - {WINDOW - 2})) q from i) where len(list_filter(s[q:q + {WINDOW - 1}], lambda x: not starts_with(x, '<'))) >= {LITERALS}),
+m as (select dw.k d, iw.k i, n, p - q g, q, unnest(range(1, {WINDOW + 1})) j, iw.w w, iw.v iv, dw.v dv from dw join iw on dw.w = iw.w),
+t as (select distinct d, i, n, g, q + j place, w[j] slot, iv[j] iv, dv[j] dv from m),
+s as (select d, i, n, g, case when starts_with(slot, '<') then slot || iv end held, count(*) c, case when starts_with(min(slot), '<') then min(dv) = max(dv) else true end same from t group by 1, 2, 3, 4, 5),
+l as (select d, i, n, g, sum(c) c from s group by 1, 2, 3, 4 having bool_and(same)),
+e as (select d, i, n, sum(c) c from l group by 1, 2, 3 having sum(c) >= greatest({WINDOW}, least({COVERED}, ceil(n / 2)))),
+f as (select d, count(*) n_items, max(c) c from e group by 1)
+select doc_id, f.d is not null contaminated, coalesce(n_items, 0)::bigint n_items, coalesce(c, 0)::bigint most_covered from documents left join f on doc_id = f.d
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, windows of 13 words."""
     return substring_dedup(_table(spark, sf_dir, "documents"), window=13, texts=False).withColumnRenamed("kept", "kept_sha256")
@@ -127,5 +153,5 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op5_substring_dedup": op5_substring_dedup, "op6_mixing": op6_mixing, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann, "op10_sharding": op10_sharding}
-ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op8_near_dup": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op6_mixing": op6_mixing, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann, "op10_sharding": op10_sharding}
+ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op4_decontaminate": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op8_near_dup": OP8_SQL}
