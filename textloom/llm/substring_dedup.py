@@ -82,8 +82,24 @@ def symbols(w: K.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _send(ids: np.ndarray, tags: np.ndarray, row: np.ndarray, name: np.ndarray, at: np.ndarray, buckets: int, salt: int) -> pa.RecordBatch:
-    """Entries (row's id, name, at) packed by bucket of the name; where one name is in several documents here, all but that of the smallest id go to a bucket of their own (-1 - salt): they are settled."""
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with all lowest bytes first, and so on: the high bytes are mostly 0 and compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(x: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+
+
+def _name_bytes(name: np.ndarray, short: bool) -> bytes:
+    return (name.astype(np.uint32) if short else name).tobytes()
+
+
+def _send(ids: np.ndarray, tags: np.ndarray, row: np.ndarray, name: np.ndarray, at: np.ndarray, buckets: int, salt: int, short: bool) -> pa.RecordBatch:
+    """Entries (row's id, name, at) packed by bucket of the name; where one name is in several documents here, all but that of the smallest id go to a bucket of their own (-1 - salt): they are settled.
+
+    short: of names only 32 bits go with the bucket; two names that are taken for one then only leave more for the exact comparison.
+    """
     owner = ids[row]
     order = np.lexsort((owner, name))
     name, owner, at, row = name[order], owner[order], at[order], row[order]
@@ -97,7 +113,7 @@ def _send(ids: np.ndarray, tags: np.ndarray, row: np.ndarray, name: np.ndarray,
     bucket = (name >> K.U(40)).astype(np.int64) % buckets
     bucket[settled] = -1 - salt
     # An owner of the smallest id is told whether the name is shared already: its sign.
-    order = np.lexsort((row, bucket))
+    order = np.lexsort((at, row, bucket))
     bucket, name, row, at, shared = bucket[order], name[order], row[order], at[order], shared[group][order]
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
     rows = []
@@ -106,15 +122,18 @@ def _send(ids: np.ndarray, tags: np.ndarray, row: np.ndarray, name: np.ndarray,
         heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         counts = np.diff(np.append(heads, b - a)).astype(np.uint32)
         place = (at[a:b].astype(np.uint64) << K.U(1)) | shared[a:b].astype(np.uint64)
-        rows.append((int(bucket[a]), ids[own[heads]].astype(np.int64).tobytes(), tags[own[heads]].tobytes(), counts.tobytes(), name[a:b].tobytes() if bucket[a] >= 0 else b"", place.astype(np.uint32).tobytes()))
+        rows.append((int(bucket[a]), ids[own[heads]].astype(np.int64).tobytes(), tags[own[heads]].tobytes(), counts.tobytes(), _name_bytes(name[a:b], short) if bucket[a] >= 0 else b"", _planes(place.astype(np.uint32))))
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 5))], ["bucket", "ids", "tags", "counts", "names", "at"])
 
 
-def _tables(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _tables(batch: pa.RecordBatch, short: bool) -> Iterator[tuple]:
     for bucket, ids, tags, counts, names, at in zip(*(batch.column(i) for i in range(6)), strict=True):
         counts = np.frombuffer(counts.as_buffer(), np.uint32)
         owner, tag = (np.repeat(np.frombuffer(x.as_buffer(), np.int64), counts) for x in (ids, tags))
-        yield bucket.as_py() < 0, owner, tag, np.frombuffer(names.as_buffer(), np.uint64), np.frombuffer(at.as_buffer(), np.uint32)
+        name = np.frombuffer(names.as_buffer(), np.uint32 if short else np.uint64).astype(np.uint64)
+        if short:
+            name = name | np.uint64(max(0, bucket.as_py()) << 32)
+        yield bucket.as_py() < 0, owner, tag, name, _from_planes(at)
 
 
 def _answer(owner: np.ndarray, tag: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -131,7 +150,7 @@ def _settle(batches: Iterator[pa.RecordBatch], first_too: bool) -> Iterator[pa.R
     """Tells each document the places of its names that others have (first_too: those with smaller ids only count otherwise)."""
     owners, tags, names, places = [], [], [], []
     for batch in batches:
-        for settled, owner, tag, name, at in _tables(batch):
+        for settled, owner, tag, name, at in _tables(batch, first_too):
             if settled:
                 yield from _answer(owner, tag, at >> 1)
             else:
@@ -160,7 +179,7 @@ def _symbols_out(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             w = K.words(batch.column("text"))
             name, row, low, _ = symbols(w, window)
-            yield _send(ids, batch.column("tag").to_numpy(), row, name, _places(name, row), buckets, int(ids[0]) % buckets)
+            yield _send(ids, batch.column("tag").to_numpy(), row, name, _places(name, row), buckets, int(ids[0]) % buckets, True)
 
 
 def _places(name: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -202,7 +221,7 @@ def _windows_out(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -
             alone = ~_marked(batch, "told", row, _places(name, row))
             name, at = candidates(w, window, low[alone], high[alone])
             row = w.row[at]
-            yield _send(ids, batch.column("tag").to_numpy(), row, name, at - w.bounds[row], buckets, int(ids[0]) % buckets)
+            yield _send(ids, batch.column("tag").to_numpy(), row, name, at - w.bounds[row], buckets, int(ids[0]) % buckets, False)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -243,10 +262,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         told = out.repartition(n, "bucket").mapInArrow(lambda it: _settle(it, first_too), "id bigint, tag bigint, told binary")
         return told.groupBy("id", "tag").agg(F.collect_list("told").alias("told"))
 
-    sent = known.select("id", "tag", "text").mapInArrow(lambda it: _symbols_out(it, window, buckets), _PACKED)
+    # Both joins deal out the same rows by the same keys, so the texts are shuffled once.
+    dealt = known.select("id", "tag", "text")
+    sent = dealt.mapInArrow(lambda it: _symbols_out(it, window, buckets), _PACKED)
     shared = settled(sent, True)
-    sent = known.select("id", "tag", "text").join(shared, ["id", "tag"], "left").mapInArrow(lambda it: _windows_out(it, window, buckets), _PACKED)
+    sent = dealt.join(shared, ["id", "tag"], "left").mapInArrow(lambda it: _windows_out(it, window, buckets), _PACKED)
     repeated = settled(sent, False)
     schema = f"id {rows.schema['raw_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
-    out = rows.join(repeated, ["id", "tag"], "left").select("raw_id", "text", "told").mapInArrow(lambda it: _cleaned(it, window, texts), schema)
+    nothing = F.lit(None).cast("array<binary>").alias("told")
+    final = dealt.join(repeated, ["id", "tag"], "left").select(F.col("id").cast(rows.schema["raw_id"].dataType).alias("raw_id"), "text", "told")
+    unknown = rows.where("id is null").select("raw_id", "text", nothing)
+    clean = lambda df: df.mapInArrow(lambda it: _cleaned(it, window, texts), schema)
+    out = clean(final).union(clean(unknown))
     return out.withColumnRenamed("id", id_col)
