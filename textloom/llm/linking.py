@@ -1,6 +1,6 @@
 """From candidate buckets to connected components, without listing all pairs of a bucket.
 
-Members of a bucket are first compared with two pivots (its smallest and its largest id).  Links
+Members of a bucket are first compared with two pivots (the id of the largest weight, which most others are copies of, and an end of the range of ids).  Links
 that verify are joined up to components; only buckets in which several components are left are
 looked at again, and there only pairs across components, with one side outside the pivot's
 component, are made.  No link is lost: a pair is left out only if both ends are already known to be
@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(key, id) to (a, b): links that connect just what all verified pairs within keys connect.
+    """(key, id, weight) to (a, b): links that connect just what all verified pairs within keys connect.
 
     members: written table; several rows of an id in a key do no harm.
     verify: keeps the rows of an (a, b) table that are links.
@@ -49,9 +49,10 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: C
     pairs that include, for every id outside its bucket's main component and every other component
     that it has links to in the bucket, at least one of these links.
     """
-    pivots = written(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high"))
-    busy = written(members.join(pivots, "key"))
-    pairs = busy.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("low").alias("b")), F.struct(F.col("high").alias("a"), F.col("id").alias("b")))).alias("p")).select("p.*").where("a != b").distinct()
+    pivots = written(members.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("i"), F.col("id").alias("id"))).alias("heavy"), F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key", F.col("heavy.id").alias("low"), F.when(F.col("heavy.id") == F.col("high"), F.col("low")).otherwise(F.col("high")).alias("high")))
+    busy = written(members.select("key", "id").join(pivots, "key"))
+    pair = lambda x: F.struct(F.greatest("id", x).alias("a"), F.least("id", x).alias("b"))
+    pairs = busy.select(F.explode(F.array(pair("low"), pair("high"))).alias("p")).select("p.*").where("a != b").distinct()
     first = written(verify(pairs))
     part = components(first)
     labelled = busy.join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")

@@ -177,8 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = rows.mapInArrow(lambda it: _sketch(it, shingle), f"{schema}, n bigint, h1 bigint, h2 bigint, bands array<bigint>, packed array<bigint>")
     sketch = written(sketch)
     used = sketch.where("n > 0 and id is not null")
-    classes = written(used.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("packed").alias("packed")))
-    members = classes.select(F.explode("bands").alias("key"), "id")
+    classes = written(used.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("bands").alias("bands"), F.first("packed").alias("packed")))
+    members = classes.select(F.explode("bands").alias("key"), "id", "weight")
     keys = members.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p != q").select("key")
     members = written(members.join(keys, "key"))
     wanted = members.select("id").distinct()
