@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .chat import format_conversations, read_back
 from .decontaminate import COVERED, LITERALS, UNITS, WINDOW, decontamination
+from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dup import near_duplicates
 from .quality import quality_classifier
@@ -27,6 +28,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents, similarity 0.8."""
+    return line_dedup(_table(spark, sf_dir, "documents")).drop("tag")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one full of marks, formatted and read back."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -153,5 +159,5 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op6_mixing": op6_mixing, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann, "op10_sharding": op10_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_line_dedup": op1_line_dedup, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup, "op6_mixing": op6_mixing, "op7_token_store": op7_token_store, "op8_near_dup": op8_near_dup, "op9_ann": op9_ann, "op10_sharding": op10_sharding}
 ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op4_decontaminate": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op8_near_dup": OP8_SQL}
