@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     rows.mapInArrow(lambda it: _units(it, tokenizer, end_id), SCHEMA).write.parquet(path)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             get = lambda k, t: np.frombuffer(r[k], t)  # noqa: B023, E731
@@ -201,18 +201,18 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(lengths)
             starts = ends - lengths
             own = pa.array(get("doc_ids", np.int64), mask=get("null_ids", bool))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            lists = pa.nulls(len(ends), pa.list_(pa.int32())) if not with_ids else pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
             n = len(lengths)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["part"], np.int32)), pa.array(np.full(n, r["unit"], np.int32)), own, pa.array(starts), pa.array(lengths), pa.array([zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)], pa.int64()), lists], ["part", "unit", "id", "inside", "n_tokens", "ids_crc32", "ids"])
 
 
-def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32, ids) of every document of a token table; checksums are verified."""
+def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32, ids) of every document of a token table (ids=False: without the last); checksums are verified."""
     table = spark.read.schema(SCHEMA).parquet(path)
-    docs = table.mapInArrow(_decoded, "part int, unit int, id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    docs = table.mapInArrow(lambda it: _decoded(it, ids), "part int, unit int, id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
     # Running sums in two levels: over the parts (one row for each file), then within each.
     units = table.select("part", "unit", "n_tokens")
     before = units.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     inner = units.select("part", "unit", (F.sum("n_tokens").over(W.partitionBy("part").orderBy("unit")) - F.col("n_tokens")).alias("within"))
     offsets = inner.join(before, "part")
-    return docs.join(offsets, ["part", "unit"]).select(F.col("id").alias(id_col), (F.col("before") + F.col("within") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return docs.join(offsets, ["part", "unit"]).select(F.col("id").alias(id_col), (F.col("before") + F.col("within") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
