@@ -36,7 +36,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...], total: float, most:
 
     Sources are ordered by code point, null last.  A source is held at its cap if the level that all
     sources from it on would share reaches the cap, going through them by cap / weight; the rest get
-    the level of what remains times their weight.
+    the level of what remains times their weight.  From the first source that is not held on, levels
+    only fall, so the one that holds is the largest of those that stay below their cap.
     """
     order = W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     rows = sources.withColumn("place", F.row_number().over(order) - 1)
@@ -47,7 +48,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], total: float, most:
     rows = rows.withColumn("before", F.coalesce(F.sum("cap").over(by_level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
     rows = rows.withColumn("rest", F.sum("weight").over(by_level.rowsBetween(0, W.unboundedFollowing)))
     rows = rows.withColumn("level", (total * F.col("all_words") - F.col("before")) / F.col("rest"))
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.col("level"))).over(W.partitionBy()))
+    rows = rows.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.col("level"))).over(W.partitionBy()))
     target = F.when(F.col("level").isNull() | (F.col("level") * F.col("weight") >= F.col("cap")), F.col("cap")).otherwise(F.col("level") * F.col("weight"))
     return rows.withColumn("target", target).select("source", "source_size", "place", "weight", "target")
 

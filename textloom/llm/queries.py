@@ -108,7 +108,7 @@ p as (select *, row_number() over (order by source is null, encode(source)) - 1
 w as (select *, case place % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end weight, 2.0::double * source_size cap from p),
 l as (select *, sum(source_size) over () as all_words, coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0) before, sum(weight) over (order by cap / weight, place rows between current row and unbounded following) rest from w),
 v as (select *, (1.5::double * all_words - before) / rest as level from l),
-m as (select min(level) filter (where level * weight < cap) level from v),
+m as (select max(level) filter (where level * weight < cap) level from v),
 t as (select v.source, v.source_size, v.place, case when m.level is null or m.level * v.weight >= v.cap then v.cap else m.level * v.weight end target from v, m),
 o as (select d.*, t.source_size, t.place, t.target, (sum(size) over (partition by d.source order by k, doc_id rows between unbounded preceding and current row) - size)::bigint ofs from d join t on d.source is not distinct from t.source),
 q as (select *, greatest(0, least(size, floor(target)::bigint - ofs)) + greatest(0, least(size, floor(target)::bigint - ofs - source_size)) taken from o),
@@ -132,7 +132,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(spark, path).drop("ids")
+    return read_tokens(spark, path, ids=False)
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
