@@ -136,23 +136,59 @@ def _tables(batch: pa.RecordBatch, short: bool) -> Iterator[tuple]:
         yield bucket.as_py() < 0, owner, tag, name, _from_planes(at)
 
 
-def _answer(owner: np.ndarray, tag: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+_REPLIES = "dealt int, ids binary, tags binary, counts binary, at binary"
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows begins, and the end."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.append(np.flatnonzero(new), n)
+
+
+def _answer(owner: np.ndarray, tag: np.ndarray, at: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+    """(id, tag, place) packed by groups of documents: one row for each group, however many documents it has."""
+    dealt = (K.mix(owner.view(np.uint64) ^ K.mix(tag.view(np.uint64))) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((at, tag, owner, dealt))
+    owner, tag, at, dealt = owner[order], tag[order], at[order], dealt[order]
+    cuts = _runs(dealt)
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        docs = _runs(owner[a:b], tag[a:b])
+        heads = docs[:-1] + a
+        rows.append((int(dealt[a]), owner[heads].tobytes(), tag[heads].tobytes(), np.diff(docs).astype(np.uint32).tobytes(), _planes(at[a:b])))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 4))], ["dealt", "ids", "tags", "counts", "at"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: all its places."""
+    parts: list[tuple] = []
+    for batch in batches:
+        for ids, tags, counts, at in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
+            counts = np.frombuffer(counts.as_buffer(), np.uint32)
+            parts.append((*(np.repeat(np.frombuffer(x.as_buffer(), np.int64), counts) for x in (ids, tags)), _from_planes(at)))
+    if not parts:
+        return
+    owner, tag, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((at, tag, owner))
     owner, tag, at = owner[order], tag[order], at[order]
-    heads = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (tag[1:] != tag[:-1]))) if len(owner) else np.zeros(0, np.int64)
-    for i in range(0, len(heads), 20_000):
-        part = heads[i : i + 20_000]
-        ends = np.append(part[1:], heads[i + 20_000] if i + 20_000 < len(heads) else len(owner))
-        yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(tag[part]), pa.array([at[a:b].tobytes() for a, b in zip(part, ends, strict=True)], pa.binary())], ["id", "tag", "told"])
+    cuts = _runs(owner, tag)
+    for i in range(0, len(cuts) - 1, 10_000):
+        part = cuts[i : i + 10_001]
+        yield pa.RecordBatch.from_arrays([pa.array(owner[part[:-1]]), pa.array(tag[part[:-1]]), pa.array([at[a:b].tobytes() for a, b in zip(part[:-1], part[1:], strict=True)], pa.binary())], ["id", "tag", "told"])
 
 
-def _settle(batches: Iterator[pa.RecordBatch], first_too: bool) -> Iterator[pa.RecordBatch]:
+def _settle(batches: Iterator[pa.RecordBatch], first_too: bool, groups: int) -> Iterator[pa.RecordBatch]:
     """Tells each document the places of its names that others have (first_too: those with smaller ids only count otherwise)."""
     owners, tags, names, places = [], [], [], []
     for batch in batches:
         for settled, owner, tag, name, at in _tables(batch, first_too):
             if settled:
-                yield from _answer(owner, tag, at >> 1)
+                yield from _answer(owner, tag, at >> 1, groups)
             else:
                 owners.append(owner)
                 tags.append(tag)
@@ -170,7 +206,7 @@ def _settle(batches: Iterator[pa.RecordBatch], first_too: bool) -> Iterator[pa.R
         shared = np.zeros(int(new.sum()), bool)
         shared[group[told | (at & 1).astype(bool)]] = True
         told = shared[group]
-    yield from _answer(owner[told], tag[told], at[told] >> 1)
+    yield from _answer(owner[told], tag[told], at[told] >> 1, groups)
 
 
 def _symbols_out(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -192,9 +228,9 @@ def _places(name: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _marked(batch: pa.RecordBatch, column: str, row: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Whether (row, place) is in the row's list of binaries of places."""
+    """Whether (row, place) is among the places told to the row."""
     lists = batch.column(column)
-    told = [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in v])).astype(np.int64) if (v := y.as_py()) else np.zeros(0, np.int64) for y in lists]
+    told = [np.unique(np.frombuffer(v, np.uint32)).astype(np.int64) if (v := y.as_py()) else np.zeros(0, np.int64) for y in lists]
     flat = np.concatenate([t + (r << 32) for r, t in enumerate(told)]) if told else np.zeros(0, np.int64)
     mine = (row.astype(np.int64) << 32) + place
     at = np.searchsorted(flat, mine)
@@ -231,7 +267,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Ite
             words = text.as_py().encode().split()
             gone = np.zeros(len(words) + 1, np.int64)
             if v := told.as_py():
-                at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in v])).astype(np.int64)
+                at = np.unique(np.frombuffer(v, np.uint32)).astype(np.int64)
                 gone[at] += 1
                 gone[at + window] -= 1
             gone = np.cumsum(gone[:-1]) > 0 if words else np.zeros(0, bool)
@@ -259,8 +295,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = rows.where("id is not null")
 
     def settled(out: DataFrame, first_too: bool) -> DataFrame:
-        told = out.repartition(n, "bucket").mapInArrow(lambda it: _settle(it, first_too), "id bigint, tag bigint, told binary")
-        return told.groupBy("id", "tag").agg(F.collect_list("told").alias("told"))
+        told = out.repartition(n, "bucket").mapInArrow(lambda it: _settle(it, first_too, buckets), _REPLIES)
+        return told.repartition(n, "dealt").mapInArrow(_merge, "id bigint, tag bigint, told binary")
 
     # Both joins deal out the same rows by the same keys, so the texts are shuffled once.
     dealt = known.select("id", "tag", "text")
@@ -269,7 +305,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = dealt.join(shared, ["id", "tag"], "left").mapInArrow(lambda it: _windows_out(it, window, buckets), _PACKED)
     repeated = settled(sent, False)
     schema = f"id {rows.schema['raw_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
-    nothing = F.lit(None).cast("array<binary>").alias("told")
+    nothing = F.lit(None).cast("binary").alias("told")
     final = dealt.join(repeated, ["id", "tag"], "left").select(F.col("id").cast(rows.schema["raw_id"].dataType).alias("raw_id"), "text", "told")
     unknown = rows.where("id is null").select("raw_id", "text", nothing)
     clean = lambda df: df.mapInArrow(lambda it: _cleaned(it, window, texts), schema)
