@@ -41,7 +41,9 @@ def nl2br(text: str) -> str:
 def unescape(text: str | None) -> str | None:
     if text is None or "&" not in text:
         return text
-    return re.sub(r"&([^;]*);", lambda m: character(charref(m[1])) or m[0], text)
+    # Behind the last semicolon nothing can match: references are not looked for there time and again.
+    head, mark, rest = text.rpartition(";")
+    return re.sub(r"&([^;]*);", lambda m: character(charref(m[1])) or m[0], head + mark) + rest
 
 
 _HIDDEN = re.compile(r"<(noscript|script|style)")
@@ -131,9 +133,13 @@ def ensure_escaped_amp(html: str | None) -> str:
     """Ampersands that begin no entity are escaped; a comment that does not end takes the rest along."""
     if html is None:
         return ""
-    open_ = re.search(r"<!--(?!.*?-->)", html, re.S)
-    if open_ and not any(m.start() < open_.start() < m.end() for m in re.finditer(r"<!--.*?-->", html, re.S)):
-        html = html[: open_.start()]
+    at = html.find("<!--")
+    while at >= 0:
+        end = html.find("-->", at + 4)
+        if end < 0:
+            html = html[:at]
+            break
+        at = html.find("<!--", end + 3)
     return re.sub(r"(<!--.*?-->)|&(?!(?:[A-Za-z]+|#[0-9A-Fa-f]*);)", lambda m: m[1] or "&amp;", html, flags=re.S)
 
 

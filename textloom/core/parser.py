@@ -9,11 +9,16 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from html.entities import name2codepoint
 from typing import Any
 
 from .tables import HTML_ATTRS, HTML_TAGS
 
+#: Elements that may be open at once; deeper ones become siblings.  A walk takes a few Python frames for each.
+DEPTH = 400
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))
+
 VOID = frozenset("wbr source param meta link input img hr embed col br base area".split())
 _WS = " \t\r\n"
 _ENTITY = re.compile(r"[^ \t\r\n'\"/<>&;]*")
@@ -279,6 +284,8 @@ def _open(stack: list[Node], node: Node, mode: str) -> None:
                 inner = _nearest(stack, ("tr",))
             if inner:
                 _close(stack, inner, mode)
+    if len(stack) > DEPTH:
+        stack.pop()
     stack[-1].children.append(node)
     stack.append(node)
 
@@ -403,10 +410,12 @@ def _pairs(attrs: list | None) -> list[dict] | None:
 
 
 def token_rows(text: str | None, mode: str = "html") -> list[dict] | None:
-    if text is None:
-        return None
+    return None if text is None else _rows(tokens(text, mode))
+
+
+def _rows(found: list[tuple]) -> list[dict]:
     out = []
-    for t in tokens(text, mode):
+    for t in found:
         row = dict.fromkeys(("kind", "name", "attrs", "data", "is_ws", "singleton")) | {"kind": t[0]}
         if t[0] == "start":
             row |= {"name": t[1], "attrs": _pairs(t[2]), "singleton": t[3]}
@@ -441,3 +450,61 @@ def node_rows(text: str | None, mode: str = "html") -> list[dict] | None:
             row |= {"tag": "!--" if node[0] == "comment" else "?", "text": node[1]}
         out.append(row)
     return out
+
+
+def _node(value: Any) -> Any:
+    """A tree in JSON as nodes; [tag, children] and [tag] are short forms."""
+    if isinstance(value, str):
+        return value
+    if value[0] in ("comment", "pi") and not isinstance(value[-1], list):
+        return tuple(value) if value[0] == "comment" or len(value) == 3 else ("pi", value[1], None)
+    tag, *rest = value
+    attrs, children = ([], rest[0] if rest else []) if len(rest) < 2 else rest
+    return Node(tag, [(k, v) for k, v in attrs], [_node(c) for c in children])
+
+
+def json_to_html(text: str | None, mode: str = "html") -> str | None:
+    return None if text is None else to_html(_node(json.loads(text)), mode)
+
+
+def tree_tokens(text: str | None) -> list[dict] | None:
+    if text is None:
+        return None
+    found: list[tuple] = []
+
+    def walk(x: Any) -> None:
+        if isinstance(x, str):
+            found.append(("data", x, x.strip(_WS) == ""))
+        elif isinstance(x, Node):
+            found.append(("start", x.tag, x.attrs, not x.children and x.tag in VOID))
+            if not found[-1][3]:
+                for child in x.children:
+                    walk(child)
+                found.append(("end", x.tag))
+        else:
+            found.append(x)
+
+    walk(_node(json.loads(text)))
+    return _rows(found)
+
+
+def tokens_to_tree(rows: list[Any] | None, mode: str = "html") -> str | None:
+    """Token rows to a tree in JSON; data of white space only is dropped where a token says so."""
+    if rows is None:
+        return None
+    pairs = lambda a: None if a is None else [(x["k"], x["v"]) for x in a]
+    found: list[tuple] = []
+    for r in rows:
+        kind = r["kind"]
+        if kind == "start":
+            found.append((kind, r["name"], pairs(r["attrs"]) or [], bool(r["singleton"])))
+        elif kind == "end":
+            found.append((kind, r["name"]))
+        elif kind == "data":
+            found.append((kind, r["data"], bool(r["is_ws"])))
+        elif kind == "pi":
+            found.append((kind, r["data"], None) if r["name"] is None else (kind, r["name"], pairs(r["attrs"]) or []))
+        else:
+            found.append((kind, r["data"] if kind == "comment" else (r["data"] or "").split(" ")))
+    node = tree(found, mode)
+    return None if node is None else json.dumps(_listed(node), ensure_ascii=False)

@@ -14,7 +14,7 @@ from ..core import minify as M
 from ..core import parser as P
 from ..core import svg as S
 from .strings import ColumnOrName, _c
-from .udf import kernel, kernel2
+from .udf import ATTRS, BOOL, INT, TEXT, kernel, kernel2, struct
 
 
 def _chain(c: Column, *pairs: tuple[str, str]) -> Column:
@@ -75,19 +75,20 @@ charref = kernel(H.charref, T.LongType())
 svg_sanitize = kernel(S.sanitize)
 css_minify = kernel(M.css)
 js_minify = kernel(M.js)
+js_minify_checked = kernel(M.js_checked, struct(js=TEXT, error=TEXT))
 html_roundtrip = kernel(P.roundtrip)
 html_to_map = kernel(P.to_map_json)
 html_tree = kernel(P.tree_json)
 PAIRS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 scrape_link_elements = kernel(H.scrape_link_elements, PAIRS)
-TOKENS = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("kind", "name")] + [T.StructField("attrs", T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])))] + [T.StructField("data", T.StringType()), T.StructField("is_ws", T.BooleanType()), T.StructField("singleton", T.BooleanType())]))
+TOKENS = T.ArrayType(struct(kind=TEXT, name=TEXT, attrs=ATTRS, data=TEXT, is_ws=BOOL, singleton=BOOL))
 html_tokens = kernel(P.token_rows, TOKENS)
-NODES = T.ArrayType(T.StructType([T.StructField("node_id", T.IntegerType()), T.StructField("parent_id", T.IntegerType()), T.StructField("depth", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("attrs", T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())]))), T.StructField("text", T.StringType())]))
+NODES = T.ArrayType(struct(node_id=INT, parent_id=INT, depth=INT, tag=TEXT, attrs=ATTRS, text=TEXT))
 html_nodes = kernel(P.node_rows, NODES)
-STYLE = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("css", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("error", T.StringType())])
+STYLE = struct(ok=BOOL, css=TEXT, line=INT, error=TEXT)
 css_sanitize = kernel(CSS.sanitize, STYLE)
 css_sanitize_style = kernel(CSS.sanitize_style, STYLE)
-CSS_TOKENS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())]))
+CSS_TOKENS = T.ArrayType(struct(kind=TEXT, line=INT, text=TEXT))
 css_tokens = kernel(CSS.token_rows, CSS_TOKENS)
 
 
@@ -109,8 +110,36 @@ def noscript(c: ColumnOrName, allow_data: bool = False) -> Column:
     return kernel(H.noscript, allow_data=allow_data)(_c(c))
 
 
-def sanitize_uri(c: ColumnOrName) -> Column:
-    return kernel(H.sanitize_uri)(_c(c))
+sanitize_uri = kernel(H.sanitize_uri)
+
+
+def flatten_attr(name: str, c: ColumnOrName) -> Column:
+    """An attribute as it stands in a tag."""
+    return F.concat(F.lit(f'{name}="'), escape(c), F.lit('"'))
+
+
+def sanitize_attr_value(name: str, c: ColumnOrName) -> Column:
+    """The safe form of an attribute's value: styles, classes and addresses have rules of their own."""
+    return kernel(_attr_value, name=name)(_c(c))
+
+
+def _attr_value(value: str | None, name: str) -> str | None:
+    return None if value is None else H.attr_value(name, value)
+
+
+def parse_tokens(c: ColumnOrName, mode: str = "html") -> Column:
+    """The tree, as JSON, of an array of tokens as html_tokens gives them."""
+    return kernel(P.tokens_to_tree, mode=mode)(_c(c))
+
+
+def to_html(c: ColumnOrName, mode: str = "html") -> Column:
+    """HTML text of a tree in JSON."""
+    return kernel(P.json_to_html, mode=mode)(_c(c))
+
+
+def to_tokens(c: ColumnOrName) -> Column:
+    """Tokens of a tree in JSON."""
+    return kernel(P.tree_tokens, TOKENS)(_c(c))
 
 
 def escape_props(c: ColumnOrName, check: bool = False) -> Column:

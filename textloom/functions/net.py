@@ -99,6 +99,17 @@ def is_local_v4(c: ColumnOrName) -> Column:
     return _in_networks(c, [n for n in _LOCAL if ":" not in n])
 
 
+def is_local_name(names: DataFrame, resolved: DataFrame, name_col: str = "name") -> DataFrame:
+    """names with is_local: whether the name, or an address that it resolves to, is local.
+
+    resolved: (name, ip), what a resolver said; a name without an answer that is no address itself
+    is not local.
+    """
+    own = resolved.select(F.col("name").alias("_name"), is_local("ip").alias("_local")).groupBy("_name").agg(F.max("_local").alias("_local"))
+    out = names.join(own, names[name_col] == own["_name"], "left")
+    return out.select(*(names[c] for c in names.columns), (F.coalesce("_local", F.lit(False)) | is_local(names[name_col]) | F.coalesce(names[name_col] == "localhost", F.lit(False))).alias("is_local"))
+
+
 def ip_match(c: ColumnOrName, allowed: str) -> Column:
     """Whether an address is in a comma-separated list of addresses, networks, `local`, `any` and `none`."""
     out, networks = F.lit(False), []

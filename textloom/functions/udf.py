@@ -10,7 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TEXT = T.StringType()
+TEXT, INT, LONG, BOOL = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType()
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    """A struct type; unlike a DDL string it needs no session, so workers can import modules that hold one."""
+    return T.StructType([T.StructField(k, t) for k, t in fields.items()])
+
+
+ATTRS = T.ArrayType(struct(k=TEXT, v=TEXT))
 
 
 def _none(x: Any) -> Any:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..core import url as K
 from .strings import ColumnOrName, _c
-from .udf import kernel, kernel2
+from .udf import BOOL, TEXT, kernel, kernel2, struct
 
 
 def percent_encode(c: ColumnOrName) -> Column:
@@ -86,7 +86,7 @@ def split_base_host(c: ColumnOrName) -> Column:
 
 def site_name(c: ColumnOrName) -> Column:
     """The host without port and www.; none: null."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(url_part(c, "authority")), r":[0-9]*\z", ""), r"\Awww\.", "")
+    host = F.regexp_replace(F.regexp_replace(url_part(c, "authority"), r":[0-9]*\z", ""), r"\Awww\.", "")
     return F.nullif(host, F.lit(""))
 
 
@@ -98,7 +98,7 @@ def is_index_page(c: ColumnOrName) -> Column:
 
 abs_link = kernel2(K.abs_link)
 
-DATA_URL = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("mime", T.StringType()), T.StructField("charset", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
+DATA_URL = struct(ok=BOOL, mime=TEXT, charset=TEXT, data=T.BinaryType(), error=TEXT)
 decode_data_url = kernel(K.decode_data_url, DATA_URL)
 
 

@@ -1,4 +1,6 @@
 """Registered queries of the library and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from . import text, web
+
+QUERIES = text.BOOK.queries | web.BOOK.queries
+ORACLES = text.BOOK.sql | web.BOOK.sql
