@@ -148,24 +148,23 @@ def noscript(url: str | None, allow_data: bool = False) -> str | None:
     if url is None:
         return None
     url = trim(sanitize_utf8(url) or "")
-    seen, rest = "", url
-    while rest:
-        c = rest[0]
+    seen, ahead = [], list(reversed(url))
+    while ahead and ahead[-1] not in ":/#":
+        c = ahead.pop()
         if c == "%":
-            if not re.match(r"[0-9A-Fa-f]{2}", rest[1:3]):
+            digits = "".join(reversed(ahead[-2:]))
+            if not re.fullmatch(r"[0-9A-Fa-f]{2}", digits):
                 return ""
-            rest = chr(int(rest[1:3], 16)) + rest[3:]
-            continue
-        if c in ":/#":
-            break
-        if c > " " and c != "\\":
-            seen += c.lower() if c.isascii() else c
-        rest = rest[1:]
-    if not rest:
-        return url if seen else ""
-    if rest[0] != ":":
-        return url
-    rest = rest[1:]
+            del ahead[-2:]
+            # A byte above ASCII is no character by itself.
+            if (code := int(digits, 16)) < 128:
+                ahead.append(chr(code))
+        elif c > " " and c != "\\":
+            seen.append(c.lower() if c.isascii() else c)
+    seen = "".join(seen)
+    if not ahead or ahead[-1] != ":":
+        return url if ahead or seen else ""
+    rest = "".join(reversed(ahead[:-1]))
     if seen in ("javascript", "script", "vbscript"):
         return "#script-removed"
     if seen == "data":

@@ -14,10 +14,11 @@ from .udf import kernel
 
 _ATOM = r"[A-Za-z0-9_!#$%&'*+\-~/^`|{}]+"
 EMAIL = rf"""(?:"[^"\f\n\r\t\x0B\x08]+"|{_ATOM}(?:\.{_ATOM})*)@(?:[A-Za-z0-9\-]+\.)+[A-Za-z\-]{{2,}}"""
+EMAIL_WHOLE = rf"\A{EMAIL}\z"
 
 
 def is_email(c: ColumnOrName) -> Column:
-    return _c(c).rlike(rf"\A{EMAIL}\z")
+    return _c(c).rlike(EMAIL_WHOLE)
 
 
 def extract_emails(c: ColumnOrName) -> Column:

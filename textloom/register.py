@@ -36,6 +36,11 @@ KERNELS = {
     "url_metadata": metadata._metadata,
 }
 
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 #: Functions that are SQL themselves: parameters, result, body.
 EXPRESSIONS = {
     "trim_space": ("c STRING", "STRING", rf"regexp_replace(c, r'\A{strings.SPACE}+|{strings.SPACE}+\z', '')"),
@@ -44,7 +49,7 @@ EXPRESSIONS = {
     "nl2br": ("c STRING", "STRING", r"regexp_replace(c, r'\r\n|\r|\n', '<br />')"),
     "escape_html": ("c STRING", "STRING", """replace(replace(replace(replace(replace(replace(c, '&euro;', '€'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), "'", '&#39;')"""),
     "percent_encode": ("c STRING", "STRING", "replace(replace(replace(url_encode(c), '+', '%20'), '*', '%2A'), '%7E', '~')"),
-    "is_email": ("c STRING", "BOOLEAN", "c rlike r\"\"\"\\A" + net.EMAIL + "\\z\"\"\""),
+    "is_email": ("c STRING", "BOOLEAN", f"c rlike {literal(net.EMAIL_WHOLE)}"),
     "long_to_ip": ("n BIGINT", "STRING", "concat_ws('.', cast(shiftrightunsigned(n, 24) & 255 as string), cast(shiftrightunsigned(n, 16) & 255 as string), cast(shiftrightunsigned(n, 8) & 255 as string), cast(n & 255 as string))"),
 }
 
