@@ -21,15 +21,15 @@ def _c(c: ColumnOrName) -> Column:
 
 def trim(c: ColumnOrName, char: str | None = None) -> Column:
     """Without white space, or all of one character, at both ends."""
-    return F.regexp_replace(_c(c), f"\\A{SPACE}+|{SPACE}+\\z", "") if char is None else F.btrim(_c(c), F.lit(char))
+    return F.btrim(_c(c), F.lit(K.SPACES if char is None else char))
 
 
 def trim_left(c: ColumnOrName, char: str | None = None) -> Column:
-    return F.regexp_replace(_c(c), f"\\A{SPACE}+", "") if char is None else F.ltrim(_c(c), F.lit(char))
+    return F.ltrim(_c(c), F.lit(K.SPACES if char is None else char))
 
 
 def trim_right(c: ColumnOrName, char: str | None = None) -> Column:
-    return F.regexp_replace(_c(c), f"{SPACE}+\\z", "") if char is None else F.rtrim(_c(c), F.lit(char))
+    return F.rtrim(_c(c), F.lit(K.SPACES if char is None else char))
 
 
 def trim_left_class(c: ColumnOrName, char_class: str) -> Column:
