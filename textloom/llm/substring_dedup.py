@@ -185,16 +185,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _settle(batches: Iterator[pa.RecordBatch], first_too: bool, groups: int) -> Iterator[pa.RecordBatch]:
     """Tells each document the places of its names that others have (first_too: those with smaller ids only count otherwise)."""
     owners, tags, names, places = [], [], [], []
+    known: list[tuple] = []
     for batch in batches:
         for settled, owner, tag, name, at in _tables(batch, first_too):
             if settled:
-                yield from _answer(owner, tag, at >> 1, groups)
+                known.append((owner, tag, at >> 1))
             else:
                 owners.append(owner)
                 tags.append(tag)
                 names.append(name)
                 places.append(at)
     if not names:
+        if known:
+            yield from _answer(*(np.concatenate(x) for x in zip(*known, strict=True)), groups)
         return
     owner, tag, name, at = (np.concatenate(x) for x in (owners, tags, names, places))
     order = np.lexsort((owner, name))
@@ -206,7 +209,9 @@ def _settle(batches: Iterator[pa.RecordBatch], first_too: bool, groups: int) ->
         shared = np.zeros(int(new.sum()), bool)
         shared[group[told | (at & 1).astype(bool)]] = True
         told = shared[group]
-    yield from _answer(owner[told], tag[told], at[told] >> 1, groups)
+    known.append((owner[told], tag[told], at[told] >> 1))
+    # All of a task's answers go out as one row for each group of documents.
+    yield from _answer(*(np.concatenate(x) for x in zip(*known, strict=True)), groups)
 
 
 def _symbols_out(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -295,7 +300,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = rows.where("id is not null")
 
     def settled(out: DataFrame, first_too: bool) -> DataFrame:
-        told = out.repartition(n, "bucket").mapInArrow(lambda it: _settle(it, first_too, buckets), _REPLIES)
+        told = out.repartition(n, "bucket").mapInArrow(lambda it: _settle(it, first_too, n), _REPLIES)
         return told.repartition(n, "dealt").mapInArrow(_merge, "id bigint, tag bigint, told binary")
 
     # Both joins deal out the same rows by the same keys, so the texts are shuffled once.
