@@ -108,5 +108,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options: object)
     id are all taken as often as the one of them that is taken most.
     """
     taken = mix(docs, id_col, **options).where("taken > 0").withColumn("copies", F.ceil(F.col("taken") / F.col("size")).cast("int")).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    kept = docs.join(taken, docs[id_col] == taken["_mix_id"])
+    kept = docs.join(taken, docs[id_col].eqNullSafe(taken["_mix_id"]))
     return kept.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*(docs[c] for c in docs.columns))
