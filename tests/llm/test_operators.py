@@ -7,6 +7,8 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import same
 from textloom.llm import chat, token_store
-from textloom.llm.ann import nearest
+from textloom.llm.ann import _search, nearest
 from textloom.llm.decontaminate import decontaminated, decontamination
 from textloom.llm.kernel import sets, words
 from textloom.llm.line_dedup import SHINGLE, deduplicated, line_dedup
@@ -355,6 +357,29 @@ def test_recall(spark):
     assert hits / wanted >= 0.9
 
 
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_recall_of_many(spark, tmp_path, n):
+    v = np.random.default_rng(n).standard_normal((n, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), 64).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat}), tmp_path / "v.parquet", row_group_size=n // 8)
+    table, ask = spark.read.parquet(str(tmp_path / "v.parquet")), f"vec_id % {n // 40} = 0"
+    got = {}
+    for r in nearest(table, ask).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, n, n // 40):
+        score = v.astype(np.float64) @ v[q].astype(np.float64)
+        score[q] = -9
+        assert len(got[q]) == 20
+        hits += len(set(np.argsort(-score)[:20].tolist()) & got[q])
+    assert hits / (20 * len(got)) >= 0.9
+    # Only a part is scored.
+    scored = [r["count"] for r in _search(table, ask, 20, "vec_id", "embedding", 9, keep=n).groupBy("query_id").count().collect()]
+    assert len(scored) == len(got)
+    assert sum(scored) / len(scored) < 0.75 * n
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [1.0, 0.0]), (8, [1.0, 0.0]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0])]
     got = nearest(spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<float>, id string"), "vec_id % 20 = 0", k=5)

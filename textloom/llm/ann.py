@@ -7,8 +7,12 @@ tasks by its first bits and, where many vectors share them, by blocks of vectors
 
 A query first learns how many vectors share its first d bits, for every d in every tree.  It then
 goes down to the longest prefixes and comes up in all trees at once, one bit at a time, until the
-vectors met number at least ENOUGH times the wanted neighbours; all of these are scored exactly, in
-double precision, on the original vectors.
+vectors met, summed over the trees, number at least SHARE of all vectors and ENOUGH times the wanted
+neighbours; all of these are scored exactly, in double precision, on the original vectors.
+
+Vectors without any structure are the hardest: what the trees meet is then nearly independent, a sum
+of SHARE * n is 1 - exp(-SHARE) of all vectors (about a half), and no smaller share holds a recall of
+0.9.  The work thus grows with the number of queries times that of the vectors.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import col, partitions, written
 
-TREES, DEPTH, ENOUGH = 12, 64, 400
+TREES, DEPTH, ENOUGH, SHARE = 24, 64, 400, 0.8
 #: Vectors that a task holds of one tree at once.
 BLOCK = 4096
 
@@ -92,15 +96,17 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             a, b = np.searchsorted(strings, string & ~ones, "left"), np.searchsorted(strings, string | ones, "right")
             if a == b:
                 continue
-            # One product at a time, in the order of the components: the score depends on nothing else.
-            score = np.add.accumulate(v[a:b] * q, axis=1)[:, -1]
-            found = ids[a:b]
+            found, rows_met = ids[a:b], v[a:b]
             other = found != own
-            score, found = score[other], found[other]
-            if len(found) > k:
+            if len(found) > k + 1:
+                # The fast product only says who can be among the k best: its error is far below slack.
+                score = np.where(other, rows_met @ q, -np.inf)
                 least = np.partition(score, len(score) - k)[len(score) - k]
-                near = score >= least
-                score, found = score[near], found[near]
+                slack = 1e-12 * len(q) * np.abs(rows_met).max() * np.abs(q).max()
+                other &= score >= least - slack
+            found = found[other]
+            # One product at a time, in the order of the components: the score depends on nothing else.
+            score = np.add.accumulate(rows_met[other] * q, axis=1)[:, -1]
             top = np.lexsort((found, -score))[:k]
             out[0].append(np.full(len(top), own))
             out[1].append(found[top])
@@ -109,21 +115,17 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 9) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest inner products found for every row where the SQL condition query holds.
-
-    All other rows are candidates; ties go to the smaller id; with fewer candidates all that are met
-    are returned.  Vectors that are null, empty, all zero, hold a null or a non-finite component, or
-    differ in length from the most common length take no part, nor do null ids.  Repeated ids count
-    once, with any one of their vectors if these differ.  Other columns are not looked at.
-    """
+def _search(vectors: DataFrame, query: str, k: int, id_col: str, vec_col: str, seed: int, keep: int) -> DataFrame:
+    """(query_id, vec_id, score) of the vectors that are scored for k neighbours, at least the keep best of each block."""
     spark = vectors.sparkSession
     v = col(vec_col)
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    # Single-precision components stay so on disk; all sums are of doubles.
+    kind = "array<float>" if vectors.select(v).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.where(col(id_col).isNotNull() & F.coalesce(ok, F.lit(False)))
-    rows = rows.select(col(id_col).cast("bigint").alias("id"), v.cast("array<double>").alias("v"), F.expr(query).alias("asks")).dropDuplicates(["id"])
-    shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).orderBy(F.desc("n"), "dim").first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
+    rows = rows.select(col(id_col).cast("bigint").alias("id"), v.cast(kind).alias("v"), F.expr(query).alias("asks")).dropDuplicates(["id"])
+    shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("longest")).orderBy(F.desc("n"), "dim").first()
+    schema = "query_id bigint, vec_id bigint, score double"
     if shape is None:
         return spark.createDataFrame([], schema)
     dim, n, longest = shape["dim"], shape["n"], float(shape["longest"]) ** 0.5
@@ -131,7 +133,7 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id",
     floor = max(0, int(np.ceil(np.log2(n / (8 * BLOCK))))) if n else 0
 
     def strings(df: DataFrame, query: bool) -> DataFrame:
-        out = df.mapInArrow(lambda it: _hashed(it, dim, longest, seed, query), "id bigint, v array<double>, strings array<bigint>")
+        out = df.mapInArrow(lambda it: _hashed(it, dim, longest, seed, query), f"id bigint, v {kind}, strings array<bigint>")
         out = out.select("id", "v", F.posexplode("strings").alias("tree", "string"))
         return out.withColumn("prefix", F.shiftrightunsigned("string", DEPTH - floor) if floor else F.lit(0).cast("bigint"))
 
@@ -149,9 +151,20 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id",
 
     counts = dealt(spread, "0", False).mapInArrow(lambda it: _counts(it, floor), "query_id bigint, counts array<bigint>")
     met = counts.select("query_id", F.posexplode("counts").alias("d", "n")).groupBy("query_id", "d").agg(F.sum("n").alias("n"))
-    deepest = met.groupBy("query_id").agg((F.coalesce(F.max(F.when(F.col("n") >= k * ENOUGH, F.col("d"))), F.lit(0)) + floor).cast("int").alias("depth"))
+    deepest = met.groupBy("query_id").agg((F.coalesce(F.max(F.when(F.col("n") >= max(k * ENOUGH, SHARE * n), F.col("d"))), F.lit(0)) + floor).cast("int").alias("depth"))
     deepest = written(deepest)
-    found = dealt(spread.join(deepest, spread["id"] == deepest["query_id"]), "depth", True).mapInArrow(lambda it: _best(it, k), "query_id bigint, vec_id bigint, score double")
-    found = found.dropDuplicates(["query_id", "vec_id"])
+    found = dealt(spread.join(deepest, spread["id"] == deepest["query_id"]), "depth", True).mapInArrow(lambda it: _best(it, keep), schema)
+    return found.dropDuplicates(["query_id", "vec_id"])
+
+
+def nearest(vectors: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 9) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest inner products found for every row where the SQL condition query holds.
+
+    All other rows are candidates; ties go to the smaller id; with fewer candidates all that are met
+    are returned.  Vectors that are null, empty, all zero, hold a null or a non-finite component, or
+    differ in length from the most common length take no part, nor do null ids.  Repeated ids count
+    once, with any one of their vectors if these differ.  Other columns are not looked at.
+    """
+    found = _search(vectors, query, k, id_col, vec_col, seed, keep=k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
