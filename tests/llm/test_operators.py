@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.oracle import same
-from textloom.llm import chat, token_store
+from textloom.llm import ann, chat, token_store
 from textloom.llm.ann import _search, nearest
 from textloom.llm.decontaminate import decontaminated, decontamination
 from textloom.llm.kernel import sets, words
@@ -380,6 +380,26 @@ def test_recall_of_many(spark, tmp_path, n):
     assert sum(scored) / len(scored) < 0.75 * n
 
 
+@pytest.mark.parametrize("longest", [1.0, 30.0])
+def test_all_queries_are_answered_above_the_floor(spark, monkeypatch, longest):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    n, draw = 5000, np.random.default_rng(4)
+    v = draw.standard_normal((n, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[1] *= longest
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id bigint, embedding array<double>"), "vec_id % 100 = 0").collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert sorted(got) == list(range(0, n, 100))
+    assert all(sorted(found) == list(range(1, 21)) for found in got.values())
+    hits = 0
+    for q, found in got.items():
+        score = v @ v[q]
+        score[q] = -99
+        hits += len(set(np.argsort(-score)[:20].tolist()) & set(found.values()))
+    assert hits / (20 * len(got)) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [1.0, 0.0]), (8, [1.0, 0.0]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0])]
     got = nearest(spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<float>, id string"), "vec_id % 20 = 0", k=5)

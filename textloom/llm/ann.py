@@ -5,8 +5,8 @@ Vectors are lengthened by one component so that the largest inner product is the
 them to 64 sign bits of random directions; a tree is the sorted array of these strings, cut into
 tasks by its first bits and, where many vectors share them, by blocks of vectors.
 
-A query first learns how many vectors share its first d bits, for every d in every tree.  It then
-goes down to the longest prefixes and comes up in all trees at once, one bit at a time, until the
+A query first learns how many vectors share its first d bits, for every d in every tree (for prefixes
+shorter than those that the tasks are cut by, from the sizes of these).  It then goes down to the longest prefixes and comes up in all trees at once, one bit at a time, until the
 vectors met, summed over the trees, number at least SHARE of all vectors and ENOUGH times the wanted
 neighbours; all of these are scored exactly, in double precision, on the original vectors.
 
@@ -140,20 +140,31 @@ def _search(vectors: DataFrame, query: str, k: int, id_col: str, vec_col: str, s
     index = written(strings(rows.select("id", "v"), False))
     asked = written(strings(rows.where("asks").select("id", "v"), True))
     # A prefix that many vectors share is dealt out in blocks; its queries go to all of them.
-    blocks = written(index.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    held = index.join(blocks, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks")
-    spread = asked.join(blocks, ["tree", "prefix"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
-
-    def dealt(queries: DataFrame, depth: str, vectors_too: bool) -> DataFrame:
+    blocks = written(index.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    held = index.join(blocks, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks", "size")
+    # What shares the first `level` bits, for levels up to floor: all prefixes that begin with them.
+    levels = F.explode(F.sequence(F.lit(0), F.lit(floor))).alias("level")
+    begin = F.expr(f"shiftright(prefix, {floor} - level)").alias("begin")
+    under = blocks.select("tree", "prefix", "size", "blocks", levels).select("tree", "level", begin, "prefix", "size", "blocks")
+
+    def spread(queries: DataFrame) -> DataFrame:
+        """Each query (with a level) in all blocks of the prefixes that begin with the first bits of its own."""
+        return queries.select("id", "v", "tree", "string", "level", "depth", begin).join(under, ["tree", "level", "begin"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("size", "blocks", "begin", "level")
+
+    def dealt(queries: DataFrame, vectors_too: bool) -> DataFrame:
         pick = ["tree", "prefix", "block", "id", "string", *["v"] * vectors_too]
-        both = held.select(*pick, F.lit(0).alias("depth"), F.lit(False).alias("asks")).union(queries.select(*pick, F.expr(depth).alias("depth"), F.lit(True).alias("asks")))
+        both = held.select(*pick, F.lit(0).alias("depth"), F.lit(False).alias("asks")).union(queries.select(*pick, "depth", F.lit(True).alias("asks")))
         return both.repartition(partitions(spark), "tree", "prefix", "block").sortWithinPartitions("tree", "prefix", "block")
 
-    counts = dealt(spread, "0", False).mapInArrow(lambda it: _counts(it, floor), "query_id bigint, counts array<bigint>")
-    met = counts.select("query_id", F.posexplode("counts").alias("d", "n")).groupBy("query_id", "d").agg(F.sum("n").alias("n"))
-    deepest = met.groupBy("query_id").agg((F.coalesce(F.max(F.when(F.col("n") >= max(k * ENOUGH, SHARE * n), F.col("d"))), F.lit(0)) + floor).cast("int").alias("depth"))
-    deepest = written(deepest)
-    found = dealt(spread.join(deepest, spread["id"] == deepest["query_id"]), "depth", True).mapInArrow(lambda it: _best(it, keep), schema)
+    counts = dealt(spread(asked.withColumns({"level": F.lit(floor), "depth": F.lit(0)})), False).mapInArrow(lambda it: _counts(it, floor), "query_id bigint, counts array<bigint>")
+    met = counts.select("query_id", F.posexplode("counts").alias("d", "n")).select("query_id", (F.col("d") + floor).alias("d"), "n")
+    sizes = under.where(F.col("level") < floor).groupBy("tree", "level", "begin").agg(F.sum("size").alias("n"))
+    above = asked.select("id", "tree", "prefix", levels).select(F.col("id").alias("query_id"), "tree", "level", begin).join(sizes, ["tree", "level", "begin"])
+    met = met.union(above.select("query_id", F.col("level").alias("d"), "n")).groupBy("query_id", "d").agg(F.sum("n").alias("n"))
+    deepest = met.groupBy("query_id").agg(F.max(F.when(F.col("n") >= max(k * ENOUGH, SHARE * n), F.col("d"))).alias("deepest"))
+    # Where even the root does not hold so many, all vectors are met.
+    deep = asked.join(written(deepest), asked["id"] == F.col("query_id"), "left").withColumn("depth", F.coalesce("deepest", F.lit(0)).cast("int"))
+    found = dealt(spread(deep.withColumn("level", F.least("depth", F.lit(floor)))), True).mapInArrow(lambda it: _best(it, keep), schema)
     return found.dropDuplicates(["query_id", "vec_id"])
 
 
