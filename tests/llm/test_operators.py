@@ -133,6 +133,17 @@ def test_lines_as_by_brute_force(spark):
     assert gone == _line_classes(texts)
 
 
+def test_bins_near_the_largest_int(spark):
+    draw = np.random.default_rng(8)
+    short = ["".join(x) for x in draw.choice(list("abcdefghijklmnopqrstuvwxyz"), (60_000, 10))]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(short)], "h bigint, line string")
+    top = texts.where(f"shiftrightunsigned(xxhash64(encode(line, 'UTF-16BE')), 33) > {2**31 - 1 - 15 * 7919}").select("line").collect()
+    assert top
+    rows = [(i, r["line"]) for i, r in enumerate(top * 2)]
+    got = {r["doc_id"]: list(r["kept_lines"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: [0] if i < len(top) else [] for i in range(len(rows))}
+
+
 def test_lines_of_odd_rows(spark, docs):
     got = {r["doc_id"]: (r["n_lines"], sorted(r["kept_lines"])) for r in line_dedup(docs).collect()}
     assert got[4] == (0, [])
