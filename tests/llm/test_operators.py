@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.oracle import same
-from textloom.llm import ann, chat, token_store
+from textloom.llm import ann, chat, decontaminate, token_store
 from textloom.llm.ann import _search, nearest
 from textloom.llm.decontaminate import decontaminated, decontamination
 from textloom.llm.kernel import sets, words
@@ -221,6 +221,12 @@ def test_planted_templates(spark):
     assert sorted(r["doc_id"] for r in decontaminated(rows, items).collect()) == [3, 4, 5]
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_both_joins_find_null_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    test_planted_templates(spark)
+
+
 # op5
 
 

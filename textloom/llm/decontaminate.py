@@ -56,9 +56,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         # Only hashes are shuffled; the words of the documents that match come by a second join.
         narrow = own.select("id", "tag", "at", "h").join(items, "h")
-        words = docs.join(narrow.select("id", "tag").distinct(), ["id", "tag"], "left_semi")
+        hit = narrow.select(F.col("id").alias("h_id"), F.col("tag").alias("h_tag")).distinct()
+        words = docs.join(hit, docs["id"].eqNullSafe(hit["h_id"]) & (docs["tag"] == hit["h_tag"]), "left_semi")
         words = words.withColumn("base", base_words(F.coalesce("text", F.lit("")))).select("id", "tag", F.split("base", " ").alias("base"), F.split(template(F.col("base")), " ").alias("slots"))
-        found = narrow.join(words.dropDuplicates(["id", "tag"]), ["id", "tag"]).where(cut("slots") == F.col("item_slots")).withColumn("values", cut("base"))
+        words = words.dropDuplicates(["id", "tag"]).withColumnsRenamed({"id": "w_id", "tag": "w_tag"})
+        found = narrow.join(words, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tag") == F.col("w_tag"))).where(cut("slots") == F.col("item_slots")).withColumn("values", cut("base"))
     found = found.select("id", "tag", "item", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), F.posexplode(F.arrays_zip("item_slots", "item_values", "values")).alias("i", "w"))
     return found.select("id", "tag", "item", "item_words", "diagonal", (F.col("item_at") + F.col("i")).alias("place"), F.col("w.item_slots").alias("slot"), F.col("w.item_values").alias("item_value"), F.col("w.values").alias("value"))
 
