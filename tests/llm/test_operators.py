@@ -227,6 +227,15 @@ def test_both_joins_find_null_ids(spark, monkeypatch, broadcast):
     test_planted_templates(spark)
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_copies_in_another_case(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    item = "the Clerk told Maria that Anna and Peter weighed 12 kg of Apples in Berlin before Noon"
+    rows = spark.createDataFrame([(1, item.upper()), (2, f"so {item.lower()} again"), (3, item), (4, "THE WEATHER IN LISBON WAS FINE FOR 3 DAYS AND WE WENT TO THE SEA")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in decontamination(rows, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False}
+
+
 # op5
 
 
