@@ -236,6 +236,14 @@ def test_copies_in_another_case(spark, monkeypatch, broadcast):
     assert got == {1: True, 2: True, 3: True, 4: False}
 
 
+def test_exact_runs_count_on_inconsistent_diagonals(spark):
+    rest = "the old clerk of the town walked slowly home with De Vries and all of his seven brothers every day of the long winter"
+    item = f"De Haan said that {rest}"
+    rows = spark.createDataFrame([(1, f"Van Haan said that {rest}"), (2, "De Haan said that it rained all day")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["most_covered"]) for r in decontamination(rows, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert got == {1: (True, len(item.split()) - 1), 2: (False, 0)}
+
+
 # op5
 
 

@@ -5,7 +5,8 @@ units after numbers become the placeholders <num>, <name> and <unit>.  Windows o
 the benchmark are hash-joined with those of the documents.  Where windows of an item match a
 document along one diagonal (same distance of positions), each value in the item's slots must stand
 for one value in the document throughout: a question asked again with other numbers or names
-matches, an accidental likeness of templates does not.
+matches, an accidental likeness of templates does not.  Where they do not, only windows that equal
+the item word for word count.
 
 All this is done in two views: of the text as it is, and of the text in lower case, where no word is
 a name.  A copy in capitals or in lower case is found in the second.
@@ -54,7 +55,7 @@ def _windows(rows: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(id, tag, text) and (item, text) to (id, tag, view, item, item_words, diagonal, place, slot, item_value, value): the words of all matching windows."""
+    """(id, tag, text) and (item, text) to (id, tag, view, item, item_words, diagonal, place, slot, item_value, value, exact): the words of all matching windows; exact if the window equals the item word for word."""
     docs, benchmark = _views(docs), _views(benchmark)
     cut = lambda c: F.slice(c, F.col("at"), WINDOW)
     items = _windows(benchmark).where("at is not null").select("view", "item", F.size("slots").alias("item_words"), F.col("at").alias("item_at"), cut("slots").alias("item_slots"), cut("base").alias("item_values"))
@@ -71,23 +72,23 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         words = words.withColumn("base", base_words(F.coalesce("text", F.lit("")))).select("id", "tag", "view", F.split("base", " ").alias("base"), F.split(template(F.col("base")), " ").alias("slots"))
         words = words.dropDuplicates(["id", "tag", "view"]).withColumnsRenamed({"id": "w_id", "tag": "w_tag", "view": "w_view"})
         found = narrow.join(words, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tag") == F.col("w_tag")) & (F.col("view") == F.col("w_view"))).where(cut("slots") == F.col("item_slots")).withColumn("values", cut("base"))
-    found = found.select("id", "tag", "view", "item", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), F.posexplode(F.arrays_zip("item_slots", "item_values", "values")).alias("i", "w"))
-    return found.select("id", "tag", "view", "item", "item_words", "diagonal", (F.col("item_at") + F.col("i")).alias("place"), F.col("w.item_slots").alias("slot"), F.col("w.item_values").alias("item_value"), F.col("w.values").alias("value"))
+    found = found.select("id", "tag", "view", "item", "item_words", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), (F.col("values") == F.col("item_values")).alias("exact"), F.posexplode(F.arrays_zip("item_slots", "item_values", "values")).alias("i", "w"))
+    return found.select("id", "tag", "view", "item", "item_words", "diagonal", (F.col("item_at") + F.col("i")).alias("place"), F.col("w.item_slots").alias("slot"), F.col("w.item_values").alias("item_value"), F.col("w.values").alias("value"), "exact")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, tag, n_items, most_covered) of the documents that hold benchmark text; tag is a hash of the text.
 
-    An item is held if in one of the views consistent diagonals cover COVERED of its words, or half of them if that is
-    less (a window at least).  Null and empty texts, and items of fewer words than a window, hold
+    An item is held if in one of the views consistent diagonals, and exact windows on others, cover COVERED of its
+    words, or half of them if that is less (a window at least).  Null and empty texts, and items of fewer words than a window, hold
     nothing.  Null ids are ids; rows that repeat an id are told apart by their text.
     """
     own = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col).cast("string")).alias("tag"), col(text_col).cast("string").alias("text"))
     items = benchmark.select(col(item_col).alias("item"), col(item_text_col).cast("string").alias("text"))
-    places = matches(own, items).groupBy("id", "tag", "view", "item", "item_words", "diagonal", "place").agg(F.min("slot").alias("slot"), F.min("item_value").alias("item_value"), F.min("value").alias("value"))
+    places = matches(own, items).groupBy("id", "tag", "view", "item", "item_words", "diagonal", "place").agg(F.min("slot").alias("slot"), F.min("item_value").alias("item_value"), F.min("value").alias("value"), F.bool_or("exact").alias("exact"))
     held = F.when(F.col("slot").startswith("<"), F.concat("slot", "item_value"))
-    slots = places.groupBy("id", "tag", "view", "item", "item_words", "diagonal", held.alias("held")).agg(F.count("*").alias("n"), (F.col("held").isNull() | (F.min("value") == F.max("value"))).alias("same"))
-    lines = slots.groupBy("id", "tag", "view", "item", "item_words", "diagonal").agg(F.sum("n").alias("n"), F.bool_and("same").alias("same")).where("same")
+    slots = places.groupBy("id", "tag", "view", "item", "item_words", "diagonal", held.alias("held")).agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"), (F.col("held").isNull() | (F.min("value") == F.max("value"))).alias("same"))
+    lines = slots.groupBy("id", "tag", "view", "item", "item_words", "diagonal").agg(F.when(F.bool_and("same"), F.sum("n")).otherwise(F.sum("exact")).alias("n"))
     per_item = lines.groupBy("id", "tag", "view", "item", "item_words").agg(F.sum("n").alias("n"))
     per_item = per_item.where(F.col("n") >= F.greatest(F.lit(WINDOW), F.least(F.lit(COVERED), F.ceil(F.col("item_words") / 2))))
     per_item = per_item.groupBy("id", "tag", "item").agg(F.max("n").alias("n"))
