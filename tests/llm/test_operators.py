@@ -133,6 +133,18 @@ def test_lines_as_by_brute_force(spark):
     assert gone == _line_classes(texts)
 
 
+def test_one_character_edits_in_the_middle(spark):
+    draw, texts = np.random.default_rng(6), []
+    for n in range(40, 121, 2):
+        line = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz "), n - 2))
+        line = f"a{line}z"
+        texts += [line, line[: n // 2] + "Z" + line[n // 2 + 1 :]]
+    got = {r["doc_id"]: list(r["kept_lines"]) for r in line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    missed = [i for i in range(1, len(texts), 2) if got[i]]
+    assert len(missed) <= 1
+    assert all(got[i] for i in range(0, len(texts), 2))
+
+
 def test_bins_near_the_largest_int(spark):
     draw = np.random.default_rng(8)
     short = ["".join(x) for x in draw.choice(list("abcdefghijklmnopqrstuvwxyz"), (60_000, 10))]
