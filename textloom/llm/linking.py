@@ -14,25 +14,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop, written
+
+
+def _lowest(rows: DataFrame) -> DataFrame:
+    """(a, low) for (a, b).  Written, so that a join with it has two plain exchanges and can be split where one id has many edges."""
+    return written(rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges to (id, component): every id of an edge with the smallest id reachable.
 
-    Alternating large-star and small-star steps, each a partial aggregation and a join that can be
-    split where one id has many edges; each step's edges are written to the shared folder.
-    An empty table gives an empty table; repeated edges and loops do no harm.
+    Alternating large-star and small-star steps, each a partial aggregation and a join; each step's
+    edges are written to the shared folder.  An empty table gives an empty table; repeated edges and
+    loops do no harm.
     """
     edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     known = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        edges = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-        low = edges.groupBy("a").agg(F.min("b").alias("low"))
-        edges = edges.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.greatest("b", "low").alias("a"), F.least("b", "low").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        edges = written(edges)
+        low = _lowest(both)
+        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct())
+        drop(edges, low)
+        low = _lowest(large)
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.greatest("b", "low").alias("a"), F.least("b", "low").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
+        edges = written(small)
+        drop(large, low)
         state = edges.agg(F.count("*"), F.countDistinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == known or state[0] == 0:
             break
@@ -55,9 +62,13 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: C
     pairs = busy.select(F.explode(F.array(pair("low"), pair("high"))).alias("p")).select("p.*").where("a != b").distinct()
     first = written(verify(pairs))
     part = components(first)
-    labelled = busy.join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    labelled = written(busy.join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
+    drop(pivots, busy)
     # The pivot's own component counts as the bucket's main one; whoever is outside it meets all the others.
-    main = labelled.where("id = low").select("key", F.col("part").alias("main")).distinct()
-    open_keys = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("key")
-    labelled = written(labelled.join(open_keys, "key").join(main, "key").select("key", "id", "part", "main"))
-    return first.select("a", "b").union(written(verify(across(labelled).select("a", "b").distinct())).select("a", "b"))
+    main = F.min(F.when(F.col("id") == F.col("low"), F.col("part")))
+    open_keys = written(labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), main.alias("main")).where("p != q").select("key", "main"))
+    still = written(labelled.join(open_keys, "key").select("key", "id", "part", "main"))
+    drop(labelled, open_keys)
+    more = written(verify(across(still).select("a", "b").distinct()))
+    drop(still)
+    return first.select("a", "b").union(more.select("a", "b"))

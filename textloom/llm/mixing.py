@@ -70,19 +70,10 @@ def position(share: Column, place: Column, schedules: tuple[tuple[tuple[float, f
     return F.least(F.lit(1.0), out)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, schedules: tuple = SCHEDULES) -> DataFrame:
-    """(id, source, size, source_size, target, taken, position) for every row of docs.
-
-    size: the text's words (null: 0).  taken: how many of its words the mix takes, repeats counted:
-    a source's documents follow each other in an order fixed by a hash of their ids (ties: by text),
-    as often as it takes to reach the target, rounded down; the last document may be taken in part.
-    position: when its first word is asked for (null if it is not taken).  A null source is a source
-    of its own and stands last.  Null ids and repeated rows are rows like all others.  Sources
-    without words get the target 0.  The result is range-sorted by position.
-    """
-    spark = docs.sparkSession
+def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[float, ...], total: float, most: float, schedules: tuple) -> DataFrame:
+    """(id, source, size, tie, source_size, target, taken, positions): of every row, also when each of its turns begins."""
     key = F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), words(col(text_col).cast("string")).alias("size"), key.alias("key"), F.xxhash64(col(text_col).cast("string")).alias("tie"))
+    rows = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), words(col(text_col).cast("string")).alias("size"), key.alias("key"), _tie(text_col).alias("tie"))
     rows = written(rows.withColumn("slice", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
     slices = written(rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")))
     aims = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, total, most)
@@ -92,21 +83,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (rows["slice"] == starts["slice"])).drop(starts["slice"])
     inside = F.sum("size").over(W.partitionBy("source", "slice").orderBy("key", "id", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     rows = rows.withColumn("offset", F.col("ahead") + inside)
-    goal = F.floor("target")
     passes = int(most) + (most > int(most))
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("offset") - p * F.col("source_size"))) for p in range(passes)), F.lit(0))
-    rows = rows.withColumn("taken", taken.cast("bigint"))
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, position(F.col("offset") / F.col("target"), F.col("place"), schedules)))
-    out = rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", "position")
-    return out.repartitionByRange(partitions(spark), "position", id_col).sortWithinPartitions("position", id_col)
+    begins = [F.col("offset") + p * F.col("source_size") for p in range(passes)]
+    parts = [F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - b)) for b in begins]
+    turns = F.array(*(F.when(part > 0, position(b / F.nullif(F.col("target"), F.lit(0.0)), F.col("place"), schedules)) for b, part in zip(begins, parts, strict=True)))
+    return rows.select("id", "source", "size", "tie", "source_size", "target", sum(parts, F.lit(0)).cast("bigint").alias("taken"), F.array_compact(turns).alias("positions"))
+
+
+def _tie(text_col: str) -> Column:
+    return F.xxhash64(col(text_col).cast("string"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, schedules: tuple = SCHEDULES) -> DataFrame:
+    """(id, source, size, source_size, target, taken, position) for every row of docs.
+
+    size: the text's words (null: 0).  taken: how many of its words the mix takes, repeats counted:
+    a source's documents follow each other in an order fixed by a hash of their ids (ties: by text),
+    as often as it takes to reach the target, rounded down; the last document may be taken in part.
+    position: when its first word is asked for (null if it is not taken).  A null source is a source
+    of its own and stands last.  Null ids and repeated rows are rows like all others.  Sources
+    without words get the target 0.  The result is range-sorted by position.
+    """
+    rows = _placed(docs, id_col, source_col, text_col, weights, total, most, schedules)
+    out = rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+    return out.repartitionByRange(partitions(docs.sparkSession), "position", id_col).sortWithinPartitions("position", id_col)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The documents of the mix, with all their columns: one row for each time that a document is begun.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, schedules: tuple = SCHEDULES, position_col: str | None = None) -> DataFrame:
+    """The documents of the mix, with all their columns, in the order of training.
 
-    Documents of which the mix takes nothing go.  Ids are taken to be distinct; rows that repeat an
-    id are all taken as often as the one of them that is taken most.
+    A document has one row for each time that it is begun, each at a position of its own; rows are
+    range-sorted by it, and position_col (None: no such column) holds it.  Documents of which the
+    mix takes nothing go.  Rows that agree in id and text are all taken as often as the one of them
+    that is taken most.  An empty table stays empty.
     """
-    taken = mix(docs, id_col, **options).where("taken > 0").withColumn("copies", F.ceil(F.col("taken") / F.col("size")).cast("int")).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    kept = docs.join(taken, docs[id_col].eqNullSafe(taken["_mix_id"]))
-    return kept.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*(docs[c] for c in docs.columns))
+    taken = _placed(docs, id_col, source_col, text_col, weights, total, most, schedules).where("taken > 0")
+    taken = taken.groupBy(F.col("id").alias("_mix_id"), F.col("tie").alias("_mix_tie")).agg(F.max(F.struct("taken", "positions")).alias("_mix"))
+    held = docs.join(taken, col(id_col).eqNullSafe(F.col("_mix_id")) & (_tie(text_col) == F.col("_mix_tie")))
+    held = held.select(*(col(c) for c in docs.columns), F.explode("_mix.positions").alias("_mix_at"))
+    # Demand over all sources is spread over time, so equal stretches of it are near equal parts.
+    n = partitions(docs.sparkSession)
+    stretch = F.least(F.floor(F.col("_mix_at") * n), F.lit(n - 1)).cast("int")
+    held = held.repartitionById(n, stretch).sortWithinPartitions("_mix_at", col(id_col))
+    return held.select(*(col(c) for c in docs.columns), *([F.col("_mix_at").alias(position_col)] if position_col else []))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .linking import components, link
-from .shared import col, partitions, written
+from .shared import col, drop, partitions, written
 
 PERMS, BITS, ROWS = 128, 2, 4
 BANDS = PERMS // ROWS
@@ -63,7 +63,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 total[full] = np.add.reduceat(K.mix(name), bounds[:-1][full])
                 other[full] = np.bitwise_xor.reduceat(K.mix(name + K.U(0x1234567)), bounds[:-1][full])
             cut = lambda x: K.lists(x.reshape(-1), np.arange(len(size) + 1) * x.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size.astype(np.int64)), pa.array(total.view(np.int64)), pa.array(other.view(np.int64)), cut(bands), cut(packed)], ["id", "n", "h1", "h2", "bands", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(size.astype(np.int64)), pa.array(total.view(np.int64)), pa.array(other.view(np.int64)), cut(bands), cut(packed)], ["id", "tag", "n", "h1", "h2", "bands", "packed"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -163,27 +163,30 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 BLOCK = 2048
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of docs.
-
-    Words are lower-cased (A-Z only).  Documents are linked if 100 * intersection >= percent * union
-    of their distinct shingles of so many words; with fewer words the whole sequence is one shingle.
-    Null or wordless texts have no shingles and no links.  Equal sets are one class from the start,
-    so thousands of copies cost one signature.  A null id takes no part in links (component null,
-    kept).  Repeated rows stay rows; both get the id's component.  Other columns are not looked at.
-    """
-    rows = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
-    schema = rows.select("id").schema.simpleString()[len("struct<") : -1]
-    sketch = rows.mapInArrow(lambda it: _sketch(it, shingle), f"{schema}, n bigint, h1 bigint, h2 bigint, bands array<bigint>, packed array<bigint>")
-    sketch = written(sketch)
+def near_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(id, tag, n, lead_id, lead_tag) for every row of docs: the first id, and of its texts the first tag, in the row's component (null: no links)."""
+    rows = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
+    sketch = written(rows.mapInArrow(lambda it: _sketch(it, shingle), "id bigint, tag bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, packed array<bigint>"))
     used = sketch.where("n > 0 and id is not null")
-    classes = written(used.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("bands").alias("bands"), F.first("packed").alias("packed")))
+    # A class is named by its smallest id, or by a hash if other classes have the same (an id with several texts).
+    classes = written(used.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "tag")).alias("first"), F.count("*").alias("weight"), F.first("bands").alias("bands"), F.first("packed").alias("packed")).select("n", "h1", "h2", F.col("first.id").alias("id"), F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag"), "weight", "bands", "packed"))
+    several = written(classes.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id"))
+    if not several.isEmpty():
+        named = classes.join(several.withColumn("several", F.lit(True)), "id", "left")
+        named = named.withColumn("id", F.when(F.col("several"), F.xxhash64("id", "n", "h1", "h2")).otherwise(F.col("id"))).select(*classes.columns)
+        plain, classes = classes, written(named)
+        drop(plain)
     members = classes.select(F.explode("bands").alias("key"), "id", "weight")
-    keys = members.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p != q").select("key")
+    keys = written(members.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p != q").select("key"))
     members = written(members.join(keys, "key"))
-    wanted = members.select("id").distinct()
-    names = written(rows.join(wanted, "id", "left_semi").mapInArrow(lambda it: _full_sets(it, shingle), f"{schema}, names binary"))
-    names = names.dropDuplicates(["id"])
+    drop(keys, several)
+    wanted = members.select("id").distinct().join(classes.select("id", "first_id", "first_tag"), "id")
+    wanted = wanted.select(F.col("id").alias("class"), F.col("first_id").alias("id"), F.col("first_tag").alias("tag"))
+    full = rows.join(wanted, ["id", "tag"]).select(F.col("class").alias("id"), "text").mapInArrow(lambda it: _full_sets(it, shingle), "id bigint, names binary")
+    names = written(full)
+    if names.count() > members.select("id").distinct().count():
+        names, repeated = written(names.dropDuplicates(["id"])), names
+        drop(repeated)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(names.select(F.col("id").alias("a"), F.col("names").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("names").alias("y")), "b")
@@ -197,8 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def across(rows: DataFrame) -> DataFrame:
         size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("part") != F.col("main")) / BLOCK).alias("askings"))
-        payload = classes.join(names.mapInArrow(_short, f"{schema}, short binary"), "id").select("id", "n", "packed", "bands", "short")
-        rows = written(rows.join(size, "key").join(payload, "id"))
+        payload = classes.join(names.mapInArrow(_short, "id bigint, short binary"), "id").select("id", "n", "packed", "bands", "short")
+        rows = written(rows.join(written(size), "key").join(payload, "id"))
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
         held = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("asking", each("askings")).withColumn("asks", F.lit(False))
         asks = rows.where("part != main").withColumn("asking", F.pmod(F.xxhash64("id"), "askings")).withColumn("block", each("blocks")).withColumn("asks", F.lit(True))
@@ -206,8 +209,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = both.repartition(partitions(docs.sparkSession), "key", "block", "asking").sortWithinPartitions("key", "block", "asking")
         return both.mapInArrow(lambda it: _across(it, percent), "a bigint, b bigint")
 
-    part = components(link(members, checked, across))
-    # An id can have several rows with different texts: all their classes then hang together through the id.
-    labels = used.join(classes.select("n", "h1", "h2", F.col("id").alias("first")), ["n", "h1", "h2"]).join(part, F.col("first") == part["id"], "left").select(used["id"], F.coalesce("component", "first").alias("component_id"))
-    labels = labels.groupBy("id").agg(F.min("component_id").alias("component_id"))
-    return sketch.select("id", "n").join(labels, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    part = written(components(link(members, checked, across)))
+    own = written(classes.select("n", "h1", "h2", "id", "first_id", "first_tag"))
+    drop(members, names, classes)
+    linked = part.join(own, "id").select("id", "component", F.struct(F.col("first_id").alias("id"), F.col("first_tag").alias("tag")).alias("first"))
+    leads = written(linked.groupBy("component").agg(F.min("first").alias("lead")))
+    of = own.join(part, "id", "left").join(leads, "component", "left").select("n", "h1", "h2", F.coalesce("lead.id", "first_id").alias("lead_id"), F.coalesce("lead.tag", "first_tag").alias("lead_tag"))
+    return sketch.select("id", "tag", "n", "h1", "h2").join(of, ["n", "h1", "h2"], "left").select("id", "tag", "n", *(F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in ("lead_id", "lead_tag")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of docs.
+
+    Words are lower-cased (A-Z only).  Documents are linked if 100 * intersection >= percent * union
+    of their distinct shingles of so many words; with fewer words the whole sequence is one shingle.
+    Null or wordless texts have no shingles and no links.  Equal sets are one class from the start,
+    so thousands of copies cost one signature.  A null id takes no part in links (component null,
+    kept).  Repeated rows stay rows.  Rows that share an id but differ in text are judged each by its
+    own text, so they can have different components.  Other columns are not looked at.
+    """
+    rows = near_classes(docs, id_col, text_col, shingle, percent)
+    component = F.coalesce("lead_id", "id")
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, that of the smallest id (then the first by a hash of the text).
+
+    Rows without an id or without words all stay; of rows that agree in id and text one stays.
+    Columns are those of docs; an empty table stays empty.
+    """
+    rows = near_classes(docs, id_col, text_col, shingle, percent).where("n > 0 and id is not null")
+    judged = written(rows.groupBy("id", "tag").agg(F.min((F.col("id") == F.col("lead_id")) & (F.col("tag") == F.col("lead_tag"))).alias("lead"), F.count("*").alias("times")))
+    tag = F.xxhash64(col(text_col).cast("string"))
+    gone = judged.where("not lead").select(F.col("id").alias("_n_id"), F.col("tag").alias("_n_tag"))
+    on = lambda x: (col(id_col).cast("bigint") == x["_n_id"]) & (tag == x["_n_tag"])
+    left = docs.join(gone, on(gone), "left_anti")
+    again = judged.where("lead and times > 1").select(F.col("id").alias("_n_id"), F.col("tag").alias("_n_tag"))
+    if not again.isEmpty():
+        first = F.struct(*(col(c) for c in docs.columns))
+        one = left.join(again, on(again), "left_semi").groupBy(col(id_col), tag.alias("_n_tag")).agg(F.first(first).alias("_n_row")).select("_n_row.*")
+        left = left.join(again, on(again), "left_anti").select(*(col(c) for c in docs.columns)).union(one)
+    return left.select(*(col(c) for c in docs.columns))

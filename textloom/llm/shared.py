@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; set to a new temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session.
+
+    Where it is unset, a new temporary folder takes its place, but on one machine only: elsewhere
+    executors would not see it, and that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -27,6 +33,17 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave and that no result still to be computed reads."""
+    for table in tables:
+        spark = table.sparkSession
+        prefix = f"{shared_dir(spark)}/t-".split(":")[-1].lstrip("/")
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if prefix in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
