@@ -10,39 +10,43 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm.decontaminate import decontaminated
 from textloom.llm.mixing import mixed_documents
-from textloom.llm.near_dup import near_duplicates
+from textloom.llm.near_dup import deduplicated
 from textloom.llm.quality import fit
 from textloom.llm.shared import shared_dir
 from textloom.llm.sharding import sharded
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on docs itself, does not reject."""
+    """Documents that the classifier, fitted on docs itself, does not reject; null and empty texts are judged like all others."""
     return fit(docs).score(docs).where("keep").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8; rows without an id stay."""
-    others = near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Rows without an id or without words stay; rows that share an id are judged each by its own text.
+    """
+    return deduplicated(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark text."""
+    """Documents that hold no benchmark text; null texts hold none and stay, null ids and repeated rows are rows like all others."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, a row for each time that a document is begun."""
+    """The mix of sources along its curriculum: a row for each time that a document is begun, range-sorted by its training position.
+
+    The position is the row's place in the table; its value is no column of documents.  A null source is a source of its own.
+    """
     return mixed_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in a random order over 16 shards: shard, slot."""
+    """All rows, repeats too, in a random order over 16 shards: shard, slot (with underscores where documents has such columns)."""
     return sharded(docs, shards=16)
 
 
