@@ -65,12 +65,12 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str | int = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about CHUNK_BYTES of text; a longer text is a slice of its own."""
+def chunks(batch: pa.RecordBatch, text: str | int = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about size bytes of text; a longer text is a slice of its own."""
     _, offsets = raw(strings(batch.column(text)))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
 

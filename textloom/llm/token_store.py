@@ -11,7 +11,7 @@ lengths               uint32, ids of each document, the end id included
 symbols, freqs        the unit's shared frequency table: uint32 ids, uint32 shares of 2**BITS
 states, cuts          checkpoints: uint64 final state of each block, uint32 where its words begin
 words                 uint32 words of all blocks
-crc                   CRC-32 of all ids as little-endian uint32
+crcs                  uint32 CRC-32 of each block's ids as little-endian uint32
 ====================  ==================================================================
 
 Blocks are BLOCK consecutive ids with a coder state of their own.  Coder and decoder go through all
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -36,6 +37,8 @@ from .shared import col, partitions
 UNIT, BLOCK, BITS, LOW = 2_000_000, 1024, 20, 31
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_200_000
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 8 << 20
 _U = np.uint64
 
 
@@ -44,14 +47,16 @@ class Encoder:
 
     A text may be cut before any space that stands between two characters that are no white space:
     the tokenizer's own splitting always cuts there, so the pieces' ids joined are the text's.
+    Texts with other spaces, or with the string of a special token, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of a word with a space before it; None if it cannot be told without its text.
+        self.known: dict[str, bytes | None] = {}
         self.blank = np.frombuffer(self._ids(["\n\n"])[0], "<u4")
         if len(self.blank) != 1:
             raise ValueError("a blank line must be a single id of this tokenizer")
@@ -61,10 +66,13 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encodes words with a space before each, a thousand in one text: a blank line always is a single id of its own there."""
-        alone = [x for x in words if "\n\n" in x]
+        odd = [x for x in words if not x or x[0].isspace() or x[-1].isspace()]
+        self.known.update(dict.fromkeys(odd))
+        words = [x for x in words if x not in self.known]
+        alone = [x for x in words if "\n\n" in x or any(t in x for t in self.special)]
         self.known.update(zip(alone, self._ids([f" {x}" for x in alone]), strict=True))
         if alone:
-            words = [x for x in words if "\n\n" not in x]
+            words = [x for x in words if x not in self.known]
         groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
         for group, flat in zip(groups, self._ids(["\n\n".join(f" {x}" for x in g) for g in groups]), strict=True):
             ids = np.frombuffer(flat, "<u4")
@@ -72,21 +80,41 @@ class Encoder:
             starts = np.append(0, ends[:-1] + 4)
             self.known.update((x, flat[a:b]) for x, a, b in zip(group, starts.tolist(), ends.tolist(), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each text's."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        pieces = [t.split(" ") for t in texts]
-        heads = [p[0] for p in pieces]
-        missing = set().union(*(p[1:] for p in pieces)) - self.known.keys()
-        odd = {x for x in missing if not x or x[0].isspace() or x[-1].isspace()}
-        self._learn(list(missing - odd))
-        known, out = self.known.__getitem__, []
-        plain = [not h[-1:].isspace() and h != "" and (not odd or odd.isdisjoint(p[1:])) for h, p in zip(heads, pieces, strict=True)]
-        first = iter(self._ids([h if ok else t for h, ok, t in zip(heads, plain, texts, strict=True)]))
-        for p, ok in zip(pieces, plain, strict=True):
-            out.append(next(first) + b"".join(map(known, p[1:])) if ok else next(first))
-        return out
+        pieces = pc.split_pattern(texts, " ")
+        coded = pieces.values.dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        heads = np.asarray(pieces.offsets)[:-1].astype(np.int64)
+        later = np.ones(len(index), bool)
+        later[heads] = False
+        used = np.bincount(index[later], minlength=len(words)) > 0
+        inner = [x for x, u in zip(words, used.tolist(), strict=True) if u]
+        self._learn([x for x in inner if x not in self.known])
+        each = [self.known[x] for x in inner]
+        # Pieces at a text's beginning have no space before them; texts that cannot be cut are one such piece.
+        odd = np.zeros(len(words), bool)
+        odd[used] = [x is None for x in each]
+        whole = np.add.reduceat((odd[index] & later).astype(np.int64), heads) > 0
+        for t in self.special:
+            whole |= np.asarray(pc.match_substring(texts, t))
+        first = [words[i] for i in index[heads].tolist()]
+        whole |= np.array([not x or x[-1].isspace() for x in first])
+        begin = self._ids([texts[r].as_py() if w else x for r, (x, w) in enumerate(zip(first, whole.tolist(), strict=True))])
+        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        size[used] = [len(x or b"") // 4 for x in each]
+        start[used] = np.cumsum(size[used]) - size[used]
+        n, at = size[index], start[index]
+        n[np.repeat(whole, np.diff(np.append(heads, len(index))))] = 0
+        n[heads] = [len(x) // 4 for x in begin]
+        at[heads] = size[used].sum() + np.cumsum(n[heads]) - n[heads]
+        flat = np.frombuffer(b"".join([*(x or b"" for x in each), *begin]), "<u4")
+        ids = flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return ids, np.add.reduceat(n, heads)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -94,7 +122,12 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids and their shares, whole numbers of at least 1 that sum to 2**BITS."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if len(ids) and int(ids.max()) < 1 << BITS:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     share = np.maximum(1, counts * (1 << BITS) // counts.sum()).astype(np.int64)
     order = np.argsort(-share, kind="stable")
     over = int(share.sum()) - (1 << BITS)
@@ -107,47 +140,66 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbols.astype(np.uint32), share.astype(np.uint32)
 
 
+def _places(symbols: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Each id's place among the symbols."""
+    if int(symbols[-1]) >= 1 << BITS:
+        return np.searchsorted(symbols, ids)
+    places = np.zeros(int(symbols[-1]) + 1, np.int32)
+    places[symbols] = np.arange(len(symbols), dtype=np.int32)
+    return places[ids]
+
+
 def compress(ids: np.ndarray) -> dict[str, np.ndarray]:
-    """The table, checkpoints and words of a unit's ids."""
+    """The table, checkpoints, block checksums and words of a unit's ids."""
     symbols, freqs = frequencies(ids)
     blocks = -(-len(ids) // BLOCK)
-    place = np.zeros(blocks * BLOCK, np.int64)
-    place[: len(ids)] = np.searchsorted(symbols, ids)
-    place = place.reshape(blocks, BLOCK)
+    place = np.zeros(blocks * BLOCK, np.int32)
+    place[: len(ids)] = _places(symbols, ids)
+    # A row for each step: what one step needs of all blocks lies together.
+    place = np.ascontiguousarray(place.reshape(blocks, BLOCK).T)
     freq, start = freqs.astype(np.uint64), (np.cumsum(freqs, dtype=np.uint64) - freqs)
     x = np.full(blocks, 1 << LOW, np.uint64)
-    words, used = np.zeros((blocks, BLOCK), np.uint32), np.zeros((blocks, BLOCK), bool)
+    words, used = np.zeros((BLOCK, blocks), np.uint32), np.zeros((BLOCK, blocks), bool)
     for t in range(BLOCK - 1, -1, -1):
-        s = place[:, t]
+        s = place[t]
         f = freq[s]
         big = x >= f << _U(LOW - BITS + 32)
-        words[:, t] = x & _U(0xFFFFFFFF)
-        used[:, t] = big
+        words[t] = x & _U(0xFFFFFFFF)
+        used[t] = big
         x = np.where(big, x >> _U(32), x)
-        x = ((x // f) << _U(BITS)) + x % f + start[s]
-    cuts = np.cumsum(used.sum(axis=1)) - used.sum(axis=1)
-    return {"symbols": symbols, "freqs": freqs, "states": x, "cuts": cuts.astype(np.uint32), "words": words[used]}
+        q = x // f
+        x = (q << _U(BITS)) + (x - q * f) + start[s]
+    count = used.sum(axis=0)
+    data = np.ascontiguousarray(ids, "<u4").tobytes()
+    crcs = np.array([zlib.crc32(data[i : i + 4 * BLOCK]) for i in range(0, len(data), 4 * BLOCK)], np.uint32)
+    return {"symbols": symbols, "freqs": freqs, "states": x, "cuts": (np.cumsum(count) - count).astype(np.uint32), "crcs": crcs, "words": words.T[used.T]}
 
 
-def expand(n: int, symbols: np.ndarray, freqs: np.ndarray, states: np.ndarray, cuts: np.ndarray, words: np.ndarray, blocks: slice = slice(None)) -> np.ndarray:
-    """The first n ids of the chosen blocks."""
+def expand(n: int, symbols: np.ndarray, freqs: np.ndarray, states: np.ndarray, cuts: np.ndarray, words: np.ndarray, crcs: np.ndarray | None = None, blocks: slice = slice(None)) -> np.ndarray:
+    """The first n ids of the chosen blocks; crcs: every block is held against its checksum."""
     freq, start = freqs.astype(np.uint64), np.cumsum(freqs, dtype=np.uint64) - freqs
-    which = np.repeat(np.arange(len(symbols)), freqs)
+    which = np.repeat(np.arange(len(symbols), dtype=np.int32), freqs)
     x, at = states[blocks].copy(), cuts[blocks].astype(np.int64)
     words = np.append(words, np.uint32(0))
-    out = np.empty((len(x), BLOCK), np.uint32)
+    out = np.empty((BLOCK, len(x)), np.uint32)
     for t in range(BLOCK):
         slot = x & _U((1 << BITS) - 1)
         s = which[slot.astype(np.int64)]
-        out[:, t] = symbols[s]
+        out[t] = symbols[s]
         x = freq[s] * (x >> _U(BITS)) + slot - start[s]
         small = x < _U(1 << LOW)
         x = np.where(small, (x << _U(32)) | words[np.minimum(at, len(words) - 1)].astype(np.uint64), x)
         at += small
-    return out.reshape(-1)[:n]
+    ids = out.T.reshape(-1)[:n]
+    if crcs is not None:
+        data = ids.astype("<u4").tobytes()
+        for k, crc in enumerate(crcs[blocks].tolist()):
+            if zlib.crc32(data[4 * BLOCK * k : 4 * BLOCK * (k + 1)]) != crc:
+                raise ValueError(f"checksum of block {k} differs")
+    return ids
 
 
-_FIELDS = [("part", pa.int32()), ("unit", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), *((x, pa.binary()) for x in ("doc_ids", "null_ids", "lengths", "symbols", "freqs", "states", "cuts", "words"))]
+_FIELDS = [("part", pa.int32()), ("unit", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), *((x, pa.binary()) for x in ("doc_ids", "null_ids", "lengths", "symbols", "freqs", "states", "cuts", "crcs", "words"))]
 SCHEMA = ", ".join(f"{k} {'int' if t == pa.int32() else 'bigint' if t == pa.int64() else 'binary'}" for k, t in _FIELDS)
 
 
@@ -155,22 +207,24 @@ def _units(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
     # Kept between the tasks of a worker, with the words it has met.
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
     part, unit = TaskContext.get().partitionId(), 0
-    held: list[tuple[int | None, bytes]] = []
+    held: list[tuple[int | None, np.ndarray]] = []
     size = 0
 
     def row() -> pa.RecordBatch:
-        flat = b"".join(x for _, x in held)
-        ids = np.frombuffer(flat, "<u4")
+        ids = np.concatenate([x for _, x in held])
         values = {k: v.tobytes() for k, v in compress(ids).items()}
-        values |= {"part": part, "unit": unit, "n_docs": len(held), "n_tokens": len(ids), "crc": zlib.crc32(flat), "doc_ids": np.array([i or 0 for i, _ in held], np.int64).tobytes(), "null_ids": bytes(i is None for i, _ in held), "lengths": np.array([len(x) // 4 for _, x in held], np.uint32).tobytes()}
+        values |= {"part": part, "unit": unit, "n_docs": len(held), "n_tokens": len(ids), "doc_ids": np.array([i or 0 for i, _ in held], np.int64).tobytes(), "null_ids": bytes(i is None for i, _ in held), "lengths": np.array([len(x) for _, x in held], np.uint32).tobytes()}
         return pa.RecordBatch.from_arrays([pa.array([values[k]], t) for k, t in _FIELDS], [k for k, _ in _FIELDS])
 
-    end = np.uint32(end_id).tobytes()
     for whole in batches:
-        for batch in K.chunks(whole):
-            for i, ids in zip(batch.column("id").to_pylist(), encoder.encode(K.strings(batch.column("text")).to_pylist()), strict=True):
-                held.append((i, ids + end))
-                size += len(ids) // 4 + 1
+        for batch in K.chunks(whole, size=TEXT_BYTES):
+            ids, counts = encoder.encode(K.strings(batch.column("text")))
+            ends = np.cumsum(counts)
+            ids = np.insert(ids, ends, np.uint32(end_id))
+            ends += np.arange(1, len(ends) + 1)
+            for i, a, b in zip(batch.column("id").to_pylist(), (ends - counts - 1).tolist(), ends.tolist(), strict=True):
+                held.append((i, ids[a:b]))
+                size += b - a
                 if size >= UNIT:
                     yield row()
                     held, size, unit = [], 0, unit + 1
@@ -182,7 +236,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Encodes every text (null: empty) and writes the token table in ascending order of id.
 
     Null ids come first; rows that share an id are ordered by a hash of their text.  Strings of
-    special tokens in a text are ordinary text.  An empty table gives an empty token table.
+    special tokens in a text are what the tokenizer takes them for.  An empty table gives an empty
+    token table.  A document is never cut: a task's memory must hold the longest text and its ids.
     """
     rows = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", F.xxhash64("text"))
@@ -193,10 +248,8 @@ def _decoded(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.R
     for batch in batches:
         for r in batch.to_pylist():
             get = lambda k, t: np.frombuffer(r[k], t)  # noqa: B023, E731
-            ids = expand(r["n_tokens"], get("symbols", np.uint32), get("freqs", np.uint32), get("states", np.uint64), get("cuts", np.uint32), get("words", np.uint32))
+            ids = expand(r["n_tokens"], get("symbols", np.uint32), get("freqs", np.uint32), get("states", np.uint64), get("cuts", np.uint32), get("words", np.uint32), get("crcs", np.uint32))
             flat = ids.astype("<u4").tobytes()
-            if zlib.crc32(flat) != r["crc"]:
-                raise ValueError(f"token unit {r['part']}/{r['unit']}: checksum differs")
             lengths = get("lengths", np.uint32).astype(np.int64)
             ends = np.cumsum(lengths)
             starts = ends - lengths
