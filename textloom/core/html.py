@@ -291,7 +291,10 @@ def sanitize(html: str | None, elements: tuple[str, ...] = (), attributes: tuple
         if node.tag == "li" and (not stack or stack[0] not in ("ul", "ol")):
             return write(Node("ul", [], [node]), stack)
         if node.tag == "svg":
-            return svg.flatten(svg.sanitize_element(node)) if "svg" in elements else ""
+            drawn: list[str] = []
+            if "svg" in elements:
+                svg.write(node, drawn)
+            return "".join(drawn)
         if not _allowed(node.tag, stack, elements):
             return "" if node.tag in _DROPPED else "".join(write(c, stack) for c in node.children)
         inner = "".join(write(c, [node.tag, *stack]) for c in node.children)

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from typing import Any
 
+from . import html
 from .parser import Node, parse
 from .tables import SVG_ATTRS, SVG_TAGS
 
 _PROLOG = '<?xml version="1.0" standalone="no"?><!DOCTYPE svg PUBLIC "-//W3C//DTD SVG 1.1//EN" "http://www.w3.org/Graphics/SVG/1.1/DTD/svg11.dtd">'
-
-
-def sanitize_element(node: Any) -> Any:
-    """The allowed part of a tree; what is not allowed goes with all it holds."""
-    if not isinstance(node, Node):
-        return node if isinstance(node, str) or node[0] == "comment" else ""
-    if node.tag not in SVG_TAGS:
-        return ""
-    return Node(node.tag, [(k, v) for k, v in node.attrs if k in SVG_ATTRS or k.startswith("xmlns:")], [sanitize_element(c) for c in node.children])
+_BLANK = "".join(map(chr, range(33)))
 
 
 def _local(value: str) -> bool:
-    value = value.lstrip("".join(map(chr, range(33))))
+    value = value.lstrip(_BLANK)
     if value.startswith("#"):
         return True
     if value.startswith("url(#"):
@@ -29,25 +21,33 @@ def _local(value: str) -> bool:
     return "://" not in value
 
 
-def flatten(node: Any) -> str:
-    from . import html
-
+def write(node: Any, out: list[str]) -> None:
+    """Appends the allowed part of a tree; an element that is not allowed goes with all it holds."""
     if isinstance(node, str):
-        return html.marks(node)
-    if isinstance(node, tuple):
-        return "<!--" + node[1].replace("<", "&lt;").replace(">", "&gt;") + "-->"
-    attrs = []
-    for k, v in node.attrs:
-        if k != "xmlns" and not k.startswith("xmlns:"):
-            v = html.attr_value(re.sub("^[^:]*:", "", k), v) if _local(v) else ""
-        attrs.append(f' {k}="{html.escape(v)}"')
-    return f"<{node.tag}{''.join(attrs)}>{''.join(map(flatten, node.children))}</{node.tag}>"
+        out.append(html.marks(node))
+    elif not isinstance(node, Node):
+        if node[0] == "comment":
+            out.append("<!--" + node[1].replace("<", "&lt;").replace(">", "&gt;") + "-->")
+    elif node.tag in SVG_TAGS:
+        out.append(f"<{node.tag}")
+        for name, value in node.attrs:
+            space = name.startswith("xmlns:")
+            if not space and name not in SVG_ATTRS:
+                continue
+            if not space and name != "xmlns":
+                value = html.attr_value(name.split(":", 1)[-1], value) if _local(value) else ""
+            out.append(f' {name}="{html.escape(value)}"')
+        out.append(">")
+        for child in node.children:
+            write(child, out)
+        out.append(f"</{node.tag}>")
 
 
 def sanitize(text: str | None) -> str | None:
     if text is None:
         return None
-    text = text.lstrip("".join(map(chr, range(33))))
-    node = parse(text)
-    clean = "" if node is None else flatten(sanitize_element(node))
-    return _PROLOG + clean if text.startswith("<?xml ") else clean
+    text = text.lstrip(_BLANK)
+    node, out = parse(text), [_PROLOG] if text.startswith("<?xml ") else []
+    if node is not None:
+        write(node, out)
+    return "".join(out)
