@@ -15,7 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.oracle import same
-from textloom.llm import ann, chat, decontaminate, token_store
+from textloom.llm import ann, chat, decontaminate, near_dup, token_store
+from textloom.llm import substring_dedup as substring
 from textloom.llm.ann import _search, nearest
 from textloom.llm.decontaminate import decontaminated, decontamination
 from textloom.llm.kernel import sets, words
@@ -272,6 +273,41 @@ def test_windows_of_odd_rows(spark, docs):
     assert digests["kept"] == hashlib.sha256(b"").hexdigest()
 
 
+def _windows_found(docs, window=13):
+    """What the two exchanges compare, within one task: groups of (document, place) of windows with one name."""
+    w = words(pa.array([" ".join(d) for d in docs], pa.string()))
+    name, row, low, high = substring.symbols(w, window)
+    owners = {}
+    for n, r in zip(name.tolist(), row.tolist(), strict=True):
+        owners.setdefault(n, set()).add(r)
+    shared = np.array([len(owners[n]) > 1 for n in name.tolist()], bool)
+    found = {}
+    for n, at in zip(*(x.tolist() for x in substring.candidates(w, window, name, low, high, shared)), strict=True):
+        found.setdefault(n, set()).add((int(w.row[at]), at - int(w.bounds[w.row[at]])))
+    return {frozenset(g) for g in found.values() if len({d for d, _ in g}) > 1}
+
+
+@given(st.data())
+@settings(max_examples=60, deadline=None)
+def test_symbols_reveal_all_repeats(data):
+    vocabulary = data.draw(st.sampled_from([["a"], ["a", "b"], [f"w{i}" for i in range(30)]]))
+    pool = data.draw(st.lists(st.lists(st.sampled_from(vocabulary), max_size=50), min_size=1, max_size=4))
+    docs = [sum(x, []) for x in data.draw(st.lists(st.lists(st.sampled_from(pool), max_size=3), min_size=1, max_size=6))]
+    same = {}
+    for d, x in enumerate(docs):
+        for i in range(len(x) - 12):
+            same.setdefault(tuple(x[i : i + 13]), set()).add((d, i))
+    assert _windows_found(docs) == {frozenset(g) for g in same.values() if len({d for d, _ in g}) > 1}
+
+
+def test_without_symbols_nothing_is_found(monkeypatch):
+    docs = [[f"w{i}" for i in range(40)]] * 2
+    assert len(_windows_found(docs)) == 28
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+    monkeypatch.setattr(substring, "symbols", lambda w, window: none)
+    assert not _windows_found(docs)
+
+
 # op6
 
 
@@ -285,7 +321,14 @@ def test_mix_laws(spark, docs):
         assert own[0]["target"] <= 2 * own[0]["source_size"]
         assert own[0]["source_size"] == sum(r["size"] for r in own)
     assert _rows(mix(docs.repartition(7)), "doc_id", "taken", "position") == _rows(mix(docs), "doc_id", "taken", "position")
-    out = mixed_documents(docs)
+    out = mixed_documents(docs, position_col="at")
+    assert out.columns == [*docs.columns, "at"]
+    # Each row's turns stand at positions of their own, the first where the mix has it, and rows come in their order.
+    at = [r["at"] for r in out.collect()]
+    assert at == sorted(at) and all(0 <= x <= 1 for x in at)
+    first = {(r["doc_id"], r["text"]): min(x["at"] for x in out.collect() if (x["doc_id"], x["text"]) == (r["doc_id"], r["text"])) for r in out.collect() if r["doc_id"] != 12}
+    assert sorted(first.values()) == sorted(r["position"] for r in rows if r["taken"] and r["doc_id"] != 12)
+    out = out.drop("at")
     assert out.columns == docs.columns
     assert {r["text"] for r in out.collect()} <= {t for _, t, _, _ in TEXTS}
     assert any(r["doc_id"] is None for r in out.collect()) == any(r["taken"] for r in rows if r["doc_id"] is None)
@@ -310,16 +353,39 @@ def test_tokens_as_by_the_library(spark, docs, vocabulary, tmp_path):
     token_store.write_tokens(table, str(tmp_path / "t"), vocabulary)
     got = sorted(token_store.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r["doc_id"])
     start = 0
-    tokenizer.encode_special_tokens = True
     for r, (_, text) in zip(got, sorted(map(tuple, table.collect())), strict=True):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"], r["ids"]) == (start, len(ids), zlib.crc32(ids.tobytes()), ids.tolist())
         start += len(ids)
 
 
+def test_long_documents_and_many_units(vocabulary, monkeypatch):
+    monkeypatch.setattr(token_store, "UNIT", 1500)
+    monkeypatch.setattr(token_store, "REMEMBERED", 5)
+    texts = [(i, f"word{i} " * (1 + i * i * 40) + "end") for i in range(12)]
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in texts], "text": [t for _, t in texts]})
+    monkeypatch.setattr(token_store.TaskContext, "get", lambda: type("Here", (), {"partitionId": lambda self: 0})())
+    units = list(token_store._units(iter([batch.slice(0, 7), batch.slice(7)]), vocabulary, 0))
+    assert len(units) > 3
+    got = [r for b in token_store._decoded(iter(units), True) for r in b.to_pylist()]
+    encoder = token_store.Encoder(vocabulary)
+    for r, (i, text) in zip(got, texts, strict=True):
+        assert r["id"] == i and r["ids"] == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_blocks_by_themselves():
+    ids = np.random.default_rng(1).integers(0, 900, 5000).astype(np.uint32)
+    unit = token_store.compress(ids)
+    part = token_store.expand(2 * token_store.BLOCK, **unit, blocks=slice(1, 3))
+    assert (part == ids[token_store.BLOCK : 3 * token_store.BLOCK]).all()
+    unit["crcs"] = unit["crcs"] ^ np.uint32(1)
+    with pytest.raises(ValueError, match="checksum"):
+        token_store.expand(len(ids), **unit)
+
+
 def test_damaged_tokens_are_noticed(spark, vocabulary, tmp_path):
     token_store.write_tokens(spark.createDataFrame([(1, "some text")], "doc_id bigint, text string"), str(tmp_path / "t"), vocabulary)
-    bad = spark.read.parquet(str(tmp_path / "t")).withColumn("crc", F.col("crc") + 1)
+    bad = spark.read.parquet(str(tmp_path / "t")).withColumn("crcs", F.unhex(F.lit("00000001")))
     bad.write.parquet(str(tmp_path / "u"))
     with pytest.raises(Exception, match="checksum"):
         token_store.read_tokens(spark, str(tmp_path / "u")).collect()
@@ -379,6 +445,28 @@ def test_near_duplicates_of_odd_rows(spark, docs):
     assert by_id[None]["component_id"] is None and by_id[None]["kept"]
 
 
+def test_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = spark.createDataFrame([(1, a), (1, b), (2, f"{a} more"), (3, f"{b} more"), (4, "z"), (4, "z")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(rows).collect())
+    assert got == [(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+    assert sorted(r["text"][:2] for r in near_dup.deduplicated(rows).collect()) == ["a0", "b0", "z"]
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_outsiders_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    draw, texts = np.random.default_rng(11), []
+    core = [f"w{i}" for i in range(120)]
+    for _ in range(60):
+        words_ = list(core)
+        for at in draw.choice(120, int(draw.integers(0, 9)), replace=False):
+            words_[at] = f"x{draw.integers(10**6)}"
+        texts.append(" ".join(words_))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), shingle=2).collect()}
+    assert [got[i] for i in range(len(texts))] == _near_classes(texts, 2, 80)
+
+
 # op9
 
 
@@ -446,6 +534,32 @@ def test_all_queries_are_answered_above_the_floor(spark, monkeypatch, longest):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_long_vectors_do_not_hide_the_others(spark, tmp_path):
+    n = 30_000
+    v = np.random.default_rng(3).standard_normal((n, 16))
+    v[7] *= 20
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), 16).cast(pa.list_(pa.float64()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat}), tmp_path / "v.parquet")
+    table, ask = spark.read.parquet(str(tmp_path / "v.parquet")), f"vec_id % {n // 40} = 0"
+    found = [tuple(r) for r in _search(table, ask, 20, "vec_id", "embedding", 9, keep=n).select("query_id", "vec_id").collect()]
+    hits = 0
+    for q in range(0, n, n // 40):
+        mine = {i for x, i in found if x == q}
+        score = v @ v[q]
+        score[q] = -1e9
+        best = np.argsort(-score)[:20]
+        assert len(mine) >= 20
+        hits += len(set(best.tolist()) & mine)
+    assert hits / (20 * 40) >= 0.9
+    assert len(found) / 40 < 0.5 * n
+
+
+def test_vectors_that_share_an_id_and_ties(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [0.5, 3.0]), (2, [0.5, 1.0]), (3, [0.5, 2.0]), (4, [0.5, 4.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4), "vec_id = 0", k=3)
+    assert _rows(got, "rank", "vec_id", "score") == [(1, 1, 0.5), (2, 2, 0.5), (3, 3, 0.5)]
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [1.0, 0.0]), (8, [1.0, 0.0]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0])]
     got = nearest(spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<float>, id string"), "vec_id % 20 = 0", k=5)
@@ -470,6 +584,30 @@ def test_shards(spark, docs):
     assert json.dumps(_rows(out, *docs.columns)) == json.dumps(_rows(docs, *docs.columns))
 
 
+def test_the_order_depends_on_rows_and_seed_only(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 977).alias("text"))
+    order = lambda df: [(r["shard"], r["slot"], r["doc_id"]) for r in df.orderBy("shard", "slot").collect()]
+    first = order(shard_index(rows))
+    assert len(first) == 60_000 and first != sorted(first, key=lambda r: r[2])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        assert order(shard_index(rows.repartition(7))) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert order(shard_index(rows, seed=11)) != first
+
+
+def test_a_third_of_equal_rows_fills_no_bucket(spark):
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).union(spark.range(4000).select(F.lit(5).cast("bigint"), F.lit("t")))
+    out = sharded(rows, bucket_rows=500)
+    sizes = [n for n in out.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
+    assert sum(sizes) == 12_000 and max(sizes) < 800
+    got = [(r["shard"], r["slot"], r["doc_id"]) for r in out.orderBy("shard", "slot").collect()]
+    assert got == [(r["shard"], r["slot"], r["doc_id"]) for r in sharded(rows.repartition(3), bucket_rows=500).orderBy("shard", "slot").collect()]
+    assert sorted(i for _, _, i in got) == sorted([*range(8000), *[5] * 4000])
+
+
 # all of them
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from tests.llm.test_operators import _near_classes, _rows
@@ -37,6 +38,25 @@ def test_one_of_each_group_stays(spark, docs):
     assert _rows(C.near_dedup(spark, docs, SF), "doc_id") == sorted(want, key=str)
 
 
+def test_stages_take_odd_rows(spark, docs):
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "other words", "en", None, 11), (2, "x " * 3000, "en", "a", 6000), (2, "x " * 3000, "en", "a", 6000)], docs.schema)
+    with_more = odd.withColumns({"shard": F.lit("s"), "id": F.lit(1), "tag": F.lit(2), "_bucket": F.lit("b")})
+    for rows in (odd, with_more, odd.where("false")):
+        for name, stage in C.STAGES:
+            out = stage(spark, rows, SF)
+            extra = [] if name != "sharding" else ["shard_" if "shard" in rows.columns else "shard", "slot"]
+            assert out.columns == [*rows.columns, *extra], name
+            assert out.count() <= 2 * rows.count()
+    assert C.sharding(spark, odd, SF).count() == 5
+    assert sorted(r["text"] or "" for r in C.near_dedup(spark, odd, SF).collect()) == ["", "", "other words", "x " * 3000]
+
+
+def test_decontaminate_takes_out_what_is_contaminated(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").limit(1).first()["text"]
+    planted = spark.createDataFrame([(-1, f"before {items} after", "en", "a", 9), (-2, "nothing of it here", "en", "a", 9)], docs.schema)
+    assert _rows(C.decontaminate(spark, planted, SF), "doc_id") == [(-2,)]
+
+
 def test_mixing_begins_documents_as_often_as_taken(spark, docs):
     taken = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in mix(docs).collect() if r["taken"]}
     got = {}

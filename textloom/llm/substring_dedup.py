@@ -6,13 +6,16 @@ a run of one symbol.  A new name is a fingerprint of what it replaces, so equal
 symbols in every task, apart from their edges.  With each symbol goes its *context*: the words that
 decided that it was formed.  Wherever the words of the context recur, the symbol recurs.
 
-So a window whose text holds the whole context of a symbol that occurs in no other document cannot
-recur in another document.  Two exchanges follow from that:
+A window of words in which no symbol's context lies is a symbol of its own, so every window holds at
+least one.  A window that holds a symbol which occurs in no other document cannot recur in another
+document, and one that recurs holds the same symbols at the same places each time.  Two exchanges
+follow from that:
 
 1. symbols of LEAST words or more are compared across documents; shared ones are told to their
-   documents,
-2. windows that hold no unshared symbol are compared exactly, by a 64-bit fingerprint of all their
-   words; those that also start in a document with a smaller id are told to their documents.
+   documents: these reveal where something may repeat,
+2. windows that hold a shared symbol and no unshared one are compared by name: the symbol that ends
+   first in them, its place, and a 64-bit fingerprint of all their words; those that also start in a
+   document with a smaller id are told to their documents.
 
 In both, a task first settles what repeats within its own slice of the input and sends on only one
 entry of it, so text that stands in a third of all documents is no hot key.
@@ -77,9 +80,22 @@ def symbols(w: K.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
             name, row, start, stop, low, high, new = (x[keep] for x in (name, row, start, stop, low, high, first))
         good = new & (stop - start >= LEAST) & (high - low <= window)
         found.append((name[good], row[good], low[good], high[good]))
-    if not found:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    name, row, low, high = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+    # A window in which no symbol's context lies is a symbol of its own.
+    gram, at = K.grams(w, window)
+    bare = _first_inside(low, high, at, window) < 0
+    return np.concatenate([name, K.mix(gram[bare] + K.U(window))]), np.concatenate([row, w.row[at[bare]]]), np.concatenate([low, at[bare]]), np.concatenate([high, at[bare] + window])
+
+
+def _first_inside(low: np.ndarray, high: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """For each window the number of the symbol whose context lies in it and ends first (of several, begins first); -1 for none."""
+    if not len(low) or not len(at):
+        return np.full(len(at), -1)
+    order = np.lexsort((high, low))
+    ends = (high[order] << 32) | np.arange(len(order))
+    ends = np.append(np.minimum.accumulate(ends[::-1])[::-1], np.iinfo(np.int64).max)
+    first = ends[np.searchsorted(low[order], at)]
+    return np.where(first >> 32 <= at + window, order[np.minimum(first & 0xFFFFFFFF, len(order) - 1)], -1)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -243,14 +259,23 @@ def _marked(batch: pa.RecordBatch, column: str, row: np.ndarray, place: np.ndarr
     return (flat[at] == mine) if len(flat) else np.zeros(len(mine), bool)
 
 
-def candidates(w: K.Words, window: int, unshared_low: np.ndarray, unshared_high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and first words of the windows that hold no unshared symbol's context."""
-    name, at = K.grams(w, window)
+def candidates(w: K.Words, window: int, name: np.ndarray, low: np.ndarray, high: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names and first words of the windows that hold a shared symbol's context and no unshared one's.
+
+    A window is named by that symbol, its place in the window, and a fingerprint of all the words:
+    what a symbol does not reveal as a likely repeat is not compared.
+    """
+    gram, at = K.grams(w, window)
     cut = np.zeros(len(w.name) + 2, np.int64)
-    a, b = np.maximum(unshared_high - window, 0), unshared_low + 1
+    a, b = np.maximum(high[~shared] - window, 0), low[~shared] + 1
     cut += np.bincount(a[a < b], minlength=len(cut)) - np.bincount(b[a < b], minlength=len(cut))
     open_ = np.cumsum(cut)[at] == 0
-    return name[open_], at[open_]
+    gram, at = gram[open_], at[open_]
+    name, low, high = name[shared], low[shared], high[shared]
+    held = _first_inside(low, high, at, window)
+    found = held >= 0
+    gram, at, held = gram[found], at[found], held[found]
+    return K.mix(gram ^ K.mix(name[held] + (low[held] - at).astype(np.uint64))), at
 
 
 def _windows_out(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -259,8 +284,7 @@ def _windows_out(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             w = K.words(batch.column("text"))
             name, row, low, high = symbols(w, window)
-            alone = ~_marked(batch, "told", row, _places(name, row))
-            name, at = candidates(w, window, low[alone], high[alone])
+            name, at = candidates(w, window, name, low, high, _marked(batch, "told", row, _places(name, row)))
             row = w.row[at]
             yield _send(ids, batch.column("tag").to_numpy(), row, name, at - w.bounds[row], buckets, int(ids[0]) % buckets, False)
 
