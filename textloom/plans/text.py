@@ -68,7 +68,7 @@ _part("distance", {"n": "levenshtein(p_name, p_type)::int"}, n=lambda: S.distanc
 _doc("clean_lower", {"t": f"regexp_replace(replace(lower({PADDED}), 'ß', 'ss'), '^{WS}+|{WS}+$', '', 'g')"}, t=lambda: C.clean_lower(_padded()))
 _part("to_text", {"size": "coalesce(p_size::varchar, '')"}, size=lambda: C.to_text("p_size"))
 BOOK.columns("datetime_to_text", "orders", "o_orderkey", {"t": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"}, t=lambda: C.to_text("o_orderdate", "timestamp"))
-_part("double_to_text", None, t=lambda: C.to_text("p_retailprice", "double"))
+_part("double_to_text", {"t": "p_retailprice::varchar"}, t=lambda: C.to_text("p_retailprice", "double"))
 _part("to_flatlist", {"t": "p_name || p_brand || p_type"}, t=lambda: C.to_flatlist(F.array(F.array("p_name", "p_brand"), F.array("p_type"))))
 _doc("translated", {"t": "coalesce(case when lang = 'en' then text end, source)"}, t=lambda: C.translated(F.array(F.struct(F.lit("xx").alias("lang"), F.col("source").alias("text")), F.struct("lang", "text"))))
 _doc("to_atom", {"t": "nullif(trim(source), '')"}, t=lambda: C.to_atom(F.trim("source")))
@@ -106,11 +106,11 @@ F12 = f"{H12}::varchar || case when minute(ts) = 0 then '' else ':' || lpad(minu
 BOOK.columns("dateformat_time", *_EVENT, {"a": "case when hour(ts) > 11 then 'p.m.' else 'a.m.' end", "up": "case when hour(ts) > 11 then 'PM' else 'AM' end", "g": f"{H12}::varchar", "h": f"lpad({H12}::varchar, 2, '0')", "g24": "hour(ts)::varchar", "h24": "strftime(ts, '%H')", "i": "strftime(ts, '%M')", "s": "strftime(ts, '%S')", "f": F12, "p": f"case when minute(ts) = 0 and hour(ts) = 0 then 'midnight' when minute(ts) = 0 and hour(ts) = 12 then 'noon' else {F12} || case when hour(ts) > 11 then ' p.m.' else ' a.m.' end end", "b": "''"}, **{k: (lambda p=p: D.format_date("ts", p)) for k, p in {"a": "a", "up": "A", "g": "g", "h": "h", "g24": "G", "h24": "H", "i": "i", "s": "s", "f": "f", "p": "P", "b": "B"}.items()})
 BOOK.columns("dateformat_zone", *_EVENT, {"c": "strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00')", "o": "'+0000'", "z": "'0'", "u": "floor(epoch(ts))::bigint::varchar", "dst": "'0'", "r": "strftime(ts, '%a, %-d %b %Y %H:%M:%S +0000')", "kolkata": "'+0530'", "quirk": "'+0550'"}, **{k: (lambda p=p, z=z, q=q: D.format_date("ts", p, z, q)) for k, (p, z, q) in {"c": ("c", "UTC", False), "o": ("O", "UTC", False), "z": ("Z", "UTC", False), "u": ("U", "UTC", False), "dst": ("I", "UTC", False), "r": ("r", "UTC", False), "kolkata": ("O", "Asia/Kolkata", False), "quirk": ("O", "Asia/Kolkata", True)}.items()})
 BOOK.columns("dateformat_pattern", *_EVENT, {"t": "strftime(ts, '%A d %-d/%-m %Y') || ', ' || strftime(ts, '%H:%M')"}, t=lambda: D.format_date("ts", r"l \d j/n Y, H:i"))
-BOOK.columns("tz_name", *_EVENT, {"t": "case when ts between timestamp '2024-03-31 03:00:00' and timestamp '2024-10-27 03:00:00' or month(ts) between 4 and 9 then 'CEST' else 'CET' end"}, t=lambda: D.tz_name("ts", "Europe/Amsterdam"))
-del BOOK.sql["tz_name"]  # The zone's rules have no form in plain SQL.
+_SUNDAY = "(make_date(year(ts), {0}, 31) - dayofweek(make_date(year(ts), {0}, 31))::int)::timestamp"
+BOOK.columns("tz_name", *_EVENT, {"t": f"case when ts >= {_SUNDAY.format(3)} + interval 3 hour and ts < {_SUNDAY.format(10)} + interval 3 hour then 'CEST' else 'CET' end"}, t=lambda: D.tz_name("ts", "Europe/Amsterdam"))
 BOOK.columns("dateformat_now", "region", "r_regionkey", None, year=lambda: D.format_now("Y"))
 
-_part("float_digits", None, t=lambda: S.float_digits(F.col("p_retailprice") / 7))
+_part("float_digits", {"t": "(p_retailprice / 7)::varchar"}, t=lambda: S.float_digits(F.col("p_retailprice") / 7))
 BOOK.columns("frexp", "part", "p_partkey", {"mantissa": "p_size / pow(2, floor(log2(p_size)) + 1)", "exponent": "(floor(log2(p_size)) + 1)::bigint"}, mantissa=lambda: S.frexp("p_size")["mantissa"], exponent=lambda: S.frexp("p_size")["exponent"])
 _part("int_pow", {"n": "pow(p_size, 5)::bigint"}, n=lambda: S.int_pow("p_size", 5))
 _part("int_ceil", {"n": "ceil(p_retailprice / 7)::bigint"}, n=lambda: S.int_ceil(F.col("p_retailprice") / 7))

@@ -39,8 +39,19 @@ _page("unescape", {"t": ENTITIES.format("html")}, t=lambda: H.unescape("html"))
 RUNS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', '<x>', 'gs'), '<style.*?</style>', '<x>', 'gs'), '<!--.*?-->', '', 'gs'), '(<[^>]*>)+', chr(1), 'g')"
 STRIPPED = rf"regexp_replace(regexp_replace(regexp_replace({RUNS}, '^\x01|\x01$', '', 'g'), '([\x00-\x20])\x01|\x01([\x02-\x20])', '\1\2', 'g'), '\x01', ' ', 'g')"
 _page("strip", {"t": STRIPPED, "some": f"left({STRIPPED}, 200)"}, t=lambda: H.strip("html"), some=lambda: H.strip("html", 200))
+# What the tables' pages are like: in an article, paragraphs stand in a bold text that is never closed, often several.
+DECODED = "replace(replace({0}, '&copy;', '©'), '&middot;', '·')"
+BODY = "regexp_extract(html, '<body>(.*?)(</body>)?(</html>)?$', 1, 's')"
+QUOTED = "replace(replace({0}, '\"', '&quot;'), '''', '&#39;')"
+_ARTICLE = QUOTED.format(f"regexp_extract({BODY}, '</h1><p><b>(.*)</article>', 1, 's')")
+_FOOTER = QUOTED.format(f"regexp_replace(regexp_extract({BODY}, '</article>(.*)$', 1, 's'), '</?footer>', '', 'g')")
+INNER = f"replace(replace(replace(replace({_ARTICLE}, '<br>', '<br />'), '<p>', ''), '</p>', ''), '<b>', '')"
+SANITIZED = DECODED.format(f"regexp_extract({BODY}, '^(.*</h1>)', 1, 's') || '<p><b>' || {INNER} || '</b></p></article>' || {_FOOTER}")
+CLOSED = "replace(replace(replace(replace(regexp_replace(html, '(</body>)?(</html>)?$', ''), '<!DOCTYPE html>', ''), '<meta charset=\"utf-8\">', '<meta charset=\"utf-8\" />'), '<br>', '<br />'), '</article>', repeat('</b></p>', len(regexp_extract_all(html, '<b>'))) || '</article>')"
+WRITTEN = f"replace({DECODED.format(CLOSED)}, '&quot;', '\"') || '</body></html>'"
+PIECES = f"len(regexp_extract_all(replace({WRITTEN}, '\"</p>\"', ''), '<!--.*?-->|<[^>]*>|[^<]+'))::int"
 _page("html_truncate", None, t=lambda: H.truncate("html", 300))
-_page("sanitize", None, t=lambda: H.sanitize("html"))
+_page("sanitize", {"t": SANITIZED}, t=lambda: H.sanitize("html"))
 _page("noscript", {"t": "regexp_replace(url, '^([^:]*):.*$', '\\1') || ':' || substr(url, strpos(url, ':') + 1)"}, t=lambda: H.noscript("url"))
 _page("sanitize_uri", {"t": "url"}, t=lambda: H.sanitize_uri("url"))
 _doc("escape_link", None, t=lambda: H.escape_link("text"))
@@ -50,18 +61,18 @@ HOST = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 _page("abs_links", {"t": rf'''regexp_replace(html, 'href="/([^"]*)"', 'href="' || {HOST} || '/\1"', 'g')'''}, t=lambda: H.abs_links("html", "url"))
 _page("escape_props", None, t=lambda: H.escape_props(F.to_json(F.struct(F.col("html").alias("body"), F.col("url").alias("website"), F.col("url").alias("title"), F.lit("12").alias("n_int")))), check=lambda: H.escape_props(F.to_json(F.struct(F.col("html").alias("body"), F.col("html").alias("summary"), F.lit("no").alias("is_ok"))), check=True))
 _page("flatten_attr", {"t": "'title=\"' || " + MARKS.format("replace(url, '&', '&amp;')") + " || '\"'"}, t=lambda: H.flatten_attr("title", "url"))
-_page("sanitize_attr_value", None, href=lambda: H.sanitize_attr_value("href", "url"), style=lambda: H.sanitize_attr_value("style", F.lit("position: fixed")))
+_page("sanitize_attr_value", {"href": "url", "style": "'position:absolute; '"}, href=lambda: H.sanitize_attr_value("href", "url"), style=lambda: H.sanitize_attr_value("style", F.lit("position: fixed")))
 
 BOOK.add("html_tokens", lambda spark, sf: P.page_tokens(read(spark, sf, "pages")))
 BOOK.add("html_nodes", lambda spark, sf: P.page_nodes(read(spark, sf, "pages")))
 _count = lambda pattern: f"len(regexp_extract_all(html, '{pattern}'))"
 BOOK.add("html_token_counts", lambda spark, sf: P.page_tokens(read(spark, sf, "pages")).groupBy("page_id").agg(F.count_if(F.col("kind") == "start").alias("starts"), F.count_if(F.col("kind") == "end").alias("ends"), F.count_if(F.col("kind") == "comment").alias("comments"), F.count_if(F.col("kind") == "doctype").alias("doctypes")), f"select page_id, {_count('<[a-z]')} as starts, {_count('</[a-z]')} - {_count('</p>.;track')} as ends, {_count('<!--')} as comments, {_count('<!DOCTYPE')} as doctypes from pages")
 BOOK.add("html_node_counts", lambda spark, sf: P.page_nodes(read(spark, sf, "pages")).groupBy("page_id").agg(F.count_if(F.col("tag") == "a").alias("a"), F.count_if(F.col("tag") == "li").alias("li"), F.count_if(F.col("tag") == "p").alias("p"), F.count_if(F.col("tag") == "br").alias("br")), f"select page_id, {_count('<a ')} as a, {_count('<li>')} as li, {_count('<p>')} as p, {_count('<br>')} as br from pages")
-_page("html_roundtrip", None, t=lambda: H.html_roundtrip("html"))
+_page("html_roundtrip", {"t": WRITTEN}, t=lambda: H.html_roundtrip("html"))
 _page("html_tree", None, t=lambda: H.html_tree("html"))
 _page("html_parse_tokens", None, t=lambda: H.parse_tokens(H.html_tokens(F.col("html"))))
-_page("html_to_tokens", None, n=lambda: F.size(H.to_tokens(H.html_tree(F.col("html")))))
-_page("html_to_html", None, t=lambda: H.to_html(H.html_tree(F.col("html"))))
+_page("html_to_tokens", {"n": PIECES}, n=lambda: F.size(H.to_tokens(H.html_tree(F.col("html")))))
+_page("html_to_html", {"t": WRITTEN}, t=lambda: H.to_html(H.html_tree(F.col("html"))))
 _page("html_to_map", None, t=lambda: H.html_to_map("html"))
 BOOK.cases("charref", ["amp", "copy", "#1234", "#xfF", "#x", "eacute", "nosuch", "apos", "", None], {"n": "case c when 'amp' then 38 when 'copy' then 169 when '#1234' then 1234 when '#xfF' then 255 when 'eacute' then 233 end::bigint"}, n=lambda: H.charref("c"))
 
