@@ -376,9 +376,9 @@ def _listed(node: Any) -> Any:
     return node if isinstance(node, str) else list(node)
 
 
-def tree_json(text: str | None, mode: str = "html") -> str | None:
+def tree_json(text: str | None, mode: str = "html", lowercase: bool = False) -> str | None:
     """[tag, [[name, value]...], [children...]] as JSON; comments and instructions as ["comment", text] and ["pi", ...]."""
-    node = parse(text, mode)
+    node = parse(text, mode, lowercase)
     return None if node is None else json.dumps(_listed(node), ensure_ascii=False)
 
 
@@ -409,8 +409,8 @@ def _pairs(attrs: list | None) -> list[dict] | None:
     return None if attrs is None else [{"k": k, "v": v} for k, v in attrs]
 
 
-def token_rows(text: str | None, mode: str = "html") -> list[dict] | None:
-    return None if text is None else _rows(tokens(text, mode))
+def token_rows(text: str | None, mode: str = "html", lowercase: bool = False) -> list[dict] | None:
+    return None if text is None else _rows(tokens(text, mode, lowercase))
 
 
 def _rows(found: list[tuple]) -> list[dict]:
@@ -431,9 +431,9 @@ def _rows(found: list[tuple]) -> list[dict]:
     return out
 
 
-def node_rows(text: str | None, mode: str = "html") -> list[dict] | None:
+def node_rows(text: str | None, mode: str = "html", lowercase: bool = False) -> list[dict] | None:
     """The tree in pre-order: a row for each element and text, with its parent and depth."""
-    root = parse(text, mode)
+    root = parse(text, mode, lowercase)
     if root is None:
         return None
     out: list[dict] = []

@@ -76,15 +76,13 @@ svg_sanitize = kernel(S.sanitize)
 css_minify = kernel(M.css)
 js_minify = kernel(M.js)
 js_minify_checked = kernel(M.js_checked, struct(js=TEXT, error=TEXT))
-html_roundtrip = kernel(P.roundtrip)
+_roundtrip = kernel(P.roundtrip)
 html_to_map = kernel(P.to_map_json)
-html_tree = kernel(P.tree_json)
+_tree = kernel(P.tree_json)
 PAIRS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 scrape_link_elements = kernel(H.scrape_link_elements, PAIRS)
 TOKENS = T.ArrayType(struct(kind=TEXT, name=TEXT, attrs=ATTRS, data=TEXT, is_ws=BOOL, singleton=BOOL))
-html_tokens = kernel(P.token_rows, TOKENS)
 NODES = T.ArrayType(struct(node_id=INT, parent_id=INT, depth=INT, tag=TEXT, attrs=ATTRS, text=TEXT))
-html_nodes = kernel(P.node_rows, NODES)
 STYLE = struct(ok=BOOL, css=TEXT, line=INT, error=TEXT)
 css_sanitize = kernel(CSS.sanitize, STYLE)
 css_sanitize_style = kernel(CSS.sanitize_style, STYLE)
@@ -92,6 +90,26 @@ CSS_TOKENS = T.ArrayType(struct(kind=TEXT, line=INT, text=TEXT))
 css_tokens = kernel(CSS.token_rows, CSS_TOKENS)
 
 
+def html_tokens(c: ColumnOrName, mode: str = "html", lowercase: bool = False) -> Column:
+    """All tokens; mode xml: no element is special and names stay as they are; lowercase: all names are lower-cased."""
+    return kernel(P.token_rows, TOKENS, mode=mode, lowercase=lowercase)(_c(c))
+
+
+def html_nodes(c: ColumnOrName, mode: str = "html", lowercase: bool = False) -> Column:
+    """The tree in pre-order."""
+    return kernel(P.node_rows, NODES, mode=mode, lowercase=lowercase)(_c(c))
+
+
+def html_tree(c: ColumnOrName, mode: str = "html", lowercase: bool = False) -> Column:
+    """The tree in JSON."""
+    return kernel(P.tree_json, mode=mode, lowercase=lowercase)(_c(c))
+
+
+def html_roundtrip(c: ColumnOrName, mode: str = "html") -> Column:
+    """The text of the tree."""
+    return kernel(P.roundtrip, mode=mode)(_c(c))
+
+
 def strip(c: ColumnOrName, limit: int | None = None) -> Column:
     """The text of HTML, at most limit characters; null: empty."""
     return kernel(H.strip, limit=limit)(_c(c))

@@ -77,10 +77,16 @@ _page("html_to_map", None, t=lambda: H.html_to_map("html"))
 BOOK.cases("charref", ["amp", "copy", "#1234", "#xfF", "#x", "eacute", "nosuch", "apos", "", None], {"n": "case c when 'amp' then 38 when 'copy' then 169 when '#1234' then 1234 when '#xfF' then 255 when 'eacute' then 233 end::bigint"}, n=lambda: H.charref("c"))
 
 SVG = ['<svg xmlns="http://www.w3.org/2000/svg"><path d="M0 0" onclick="x()"/><script>x</script></svg>', '<?xml version="1.0"?><svg><a xlink:href="http://x.com/y"><text>t</text></a></svg>', "", None]
-BOOK.cases("svg_sanitize", SVG, None, t=lambda: H.svg_sanitize("c"))
+_NEW_PROLOG = '<?xml version="1.0" standalone="no"?><!DOCTYPE svg PUBLIC "-//W3C//DTD SVG 1.1//EN" "http://www.w3.org/Graphics/SVG/1.1/DTD/svg11.dtd">'
+SAFE_SVG = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '<script>.*?</script>', ''), '<(path)([^>]*?) onclick="[^"]*"/>', '<\1\2></\1>'), 'xlink:href="http[^"]*"', 'xlink:href=""'), '^<\?xml [^>]*>', '{_NEW_PROLOG}')"""
+BOOK.cases("svg_sanitize", SVG, {"t": SAFE_SVG}, t=lambda: H.svg_sanitize("c"))
 SHEETS = ["a { position: fixed; color: red }", "@import url(x.css); p:hover > b, i { background: URL(http://x.com/y.png) }", "@media screen { p { margin: 0 } }", "a { margin: 0 auto }", "", None]
-BOOK.cases("css_sanitize", SHEETS, None, ok=lambda: H.css_sanitize("c")["ok"], css=lambda: H.css_sanitize("c")["css"])
-BOOK.cases("css_sanitize_style", ["position: fixed", "color: red; x", "a: b} c{d: e", "", None], None, ok=lambda: H.css_sanitize_style("c")["ok"], css=lambda: H.css_sanitize_style("c")["css"])
+# Rules are written out one declaration to a line; positions are held in the page, and what is no sheet has no result.
+_RULES = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(c, 'fixed', 'absolute'), '([a-z]+): ([a-z0-9]+);? ?', '\1:\2;' || chr(10), 'g'), '\{ ', '{' || chr(10), 'g'), '\} ?', '}' || chr(10), 'g'), ' +$', '', 'g')"
+_NO_SHEET = "(c like '% auto %' or c like '@import url(%')"
+BOOK.cases("css_sanitize", SHEETS, {"ok": f"not {_NO_SHEET}", "css": f"case when not {_NO_SHEET} then {_RULES} end"}, ok=lambda: H.css_sanitize("c")["ok"], css=lambda: H.css_sanitize("c")["css"])
+_NO_STYLE = r"regexp_matches(c, '\}|; *[a-z]+ *$')"
+BOOK.cases("css_sanitize_style", ["position: fixed", "color: red; x", "a: b} c{d: e", "", None], {"ok": f"not {_NO_STYLE}", "css": rf"case when not {_NO_STYLE} then regexp_replace(replace(c, 'fixed', 'absolute'), '([a-z]+): ([a-z]+)', '\1:\2; ', 'g') end"}, ok=lambda: H.css_sanitize_style("c")["ok"], css=lambda: H.css_sanitize_style("c")["css"])
 _STYLE = r"regexp_extract(html, '<style>([^<]*)</style>', 1)"
 _style = lambda: F.regexp_extract("html", r"<style>([^<]*)</style>", 1)
 _script = lambda: F.regexp_extract("html", r"<script>((?s:.*?))</script>", 1)
@@ -138,6 +144,33 @@ def _fetched_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOK.add("fetch", _fetched_data, "select md5('data:text/html;base64,' || base64(encode(html))) as k, true as ok, 200 as status, octet_length(encode(html))::bigint as length from (select distinct html from pages)")
 
+def _echo(method, url, headers, body, timeout):
+    """A server that has moved every page once, and answers with its address over and over, in the range asked for."""
+    if method == "head":
+        return (200, [], b"") if "moved" in url else (301, [("Location", f"{url}?moved")], b"")
+    data = (url * 40).encode()
+    first, _, last = dict(headers).get("Range", "bytes=0-")[6:].partition("-")
+    part = data[int(first) : int(last or len(data)) + 1]
+    return 206, [("Content-Type", "text/plain"), ("Content-Range", f"bytes {first}-{int(first) + len(part) - 1}/{len(data)}")], part
+
+
+def _page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").where("not contains(url, '?') and not contains(url, '#')").select("url")
+
+
+_URLS = "(select distinct url from pages where not contains(url, '?') and not contains(url, '#'))"
+BOOK.add("fetch_partial", lambda spark, sf: X.fetch(_page_urls(spark, sf), max_length=64, transport=_echo).select("url", "ok", "status", "length", F.decode("data", "UTF-8").alias("data")), f"select url, true as ok, 206 as status, 64::bigint as length, left(repeat(url, 40), 64) as data from {_URLS}")
+BOOK.add("location", lambda spark, sf: X.locations(_page_urls(spark, sf), transport=_echo), f"select url, url || '?moved' as location from {_URLS}")
+
+
+def _fetched_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = read(spark, sf_dir, "pages").select(U.encode_data_url(F.encode("html", "UTF-8"), "text/html").alias("url"))
+    md = F.col("metadata")
+    return X.fetch_metadata(urls).select(F.md5("url").alias("k"), "ok", "status", md["content_type"].alias("mime"), M.prop(md, "title").alias("title"), M.prop(md, "h1").alias("h1"))
+
+
+BOOK.add("fetch_metadata", _fetched_metadata, f"select md5('data:text/html;base64,' || base64(encode(html))) as k, true as ok, 200 as status, 'text/html' as mime, {H1} as title, {H1} as h1 from (select distinct html from pages)")
+
 EMAIL = N.EMAIL.replace("'", "''")
 FOUND = rf"list_sort(list_distinct(list_transform(regexp_extract_all(' ' || text || ' ', '[^a-zA-Z0-9.@+\-]({EMAIL})', 1), lambda x: lower(x))))"
 _doc("extract_emails", {"found": FOUND}, found=lambda: N.extract_emails("text"))

@@ -20,9 +20,9 @@ KERNELS = {
     "escape_ical": strings.escape_ical,
     "escape_link": html.escape_link,
     "float_digits": strings.float_digits,
-    "html_roundtrip": html.html_roundtrip,
+    "html_roundtrip": html._roundtrip,
     "html_to_map": html.html_to_map,
-    "html_tree": html.html_tree,
+    "html_tree": html._tree,
     "ip_to_bytes": net.ip_to_bytes,
     "js_minify": html.js_minify,
     "normalize_text": strings.normalize,

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..core.url import abs_link, decode_data_url, parts
+from ..functions.metadata import url_metadata
 
 Headers = list[tuple[str, str]]
 Transport = Callable[[str, str, Headers, bytes | None, float], tuple[int, Headers, bytes]]
@@ -174,6 +175,25 @@ def fetch(urls: DataFrame, url_col: str = "url", **options: object) -> DataFrame
     return urls.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(run, SCHEMA)
 
 
+def fetch_metadata(urls: DataFrame, url_col: str = "url", max_length: int = METADATA_LENGTH, **options: object) -> DataFrame:
+    """(url, ok, status, error, metadata): each distinct address fetched as by fetch, and what its answer says of itself; null where nothing came."""
+    found = fetch(urls, url_col, max_length=max_length, **options)
+    at = F.when(F.col("final_url") == "data://", F.col("url")).otherwise(F.col("final_url"))
+    return found.select("url", "ok", "status", "error", F.when(F.col("ok"), url_metadata(at, "data", "headers")).alias("metadata"))
+
+
+def locations(urls: DataFrame, url_col: str = "url", transport: Transport = no_transport, timeout: float = TIMEOUT) -> DataFrame:
+    """(url, location): for each distinct address where it has moved to for good; null for null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(0).to_pylist()
+            moved = [None if u is None else location(u, transport, timeout) for u in asked]
+            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.string()), pa.array(moved, pa.string())], ["url", "location"])
+
+    return urls.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(run, "url string, location string")
+
+
 class _Urls(InputPartition):
     def __init__(self, urls: list[str]) -> None:
         self.urls = urls
