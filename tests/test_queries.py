@@ -191,3 +191,21 @@ def test_entry(spark):
 
     assert E.entry(spark).columns == ["site", "n_pages", "mean_text_chars", "same_heading"]
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+ODD_TEXTS = ["", "plain", "Straße", "ÀÉÎ µ ß ŉ ſ İ ǰ", "ΣΊΣΥΦΟΣ", "é ü ñ", "éä", "Łódź", "a\x00b￾c￿", "\U0001f600 … €", "ΐΰᾷ", None]
+
+
+def test_native_paths_equal_the_kernels(spark):
+    import math
+
+    from textloom.core import text as K
+
+    rows = spark.createDataFrame([(x,) for x in ODD_TEXTS], "c string")
+    got = rows.select("c", strings.to_lower("c").alias("low"), strings.unaccent("c").alias("bare"), strings.sanitize_utf8("c").alias("clean")).collect()
+    assert [(r["low"], r["bare"], r["clean"]) for r in got] == [(K.casefold(r["c"]), K.unaccent(r["c"]), K.sanitize_utf8(r["c"])) for r in got]
+    data = spark.createDataFrame([(bytearray(b"a\xffb\xe0\x80c"),), (bytearray("é".encode()),), (None,)], "c binary")
+    assert [r["x"] for r in data.select(strings.sanitize_utf8("c").alias("x")).collect()] == ["abc", "é", None]
+    numbers = [0.0, -0.0, 1.0, -1.0, 0.5, 3.7, 1e300, -1e-300, 5e-324, 1.7976931348623157e308, 2.0**52 - 0.5, 0.9999999999999999, 8.0, float("inf"), float("-inf"), None]
+    found = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", strings.frexp("x").alias("f")).collect()
+    assert [r["f"] and tuple(r["f"]) for r in found] == [None if r["x"] is None else math.frexp(r["x"]) for r in found]

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..core import text as K
 from .udf import kernel
@@ -81,11 +80,15 @@ def to_upper(c: ColumnOrName) -> Column:
 
 
 _casefold = kernel(K.casefold)
+#: Characters whose case folding is their lower case, but for the sharp s: ASCII, Latin-1 without the micro sign, punctuation.
+_FOLDS_AS_LOWER = r"^[\x00-\x7F\x{80}-\x{B4}\x{B6}-\x{FF}\x{2010}-\x{2027}\x{20AC}]*$"
 
 
 def to_lower(c: ColumnOrName) -> Column:
-    """Full case folding; null: empty."""
-    return _casefold(_c(c))
+    """Full case folding; null: empty.  Only texts with letters beyond Latin-1 go to Python."""
+    text = F.coalesce(_c(c), F.lit(""))
+    plain = text.rlike(_FOLDS_AS_LOWER)
+    return F.when(plain, to_lower_latin(text)).otherwise(_casefold(F.when(~plain, text)))
 
 
 def to_lower_latin(c: ColumnOrName) -> Column:
@@ -94,11 +97,24 @@ def to_lower_latin(c: ColumnOrName) -> Column:
 
 
 normalize = kernel(K.normalize)
-unaccent = kernel(K.unaccent)
-sanitize_utf8 = kernel(K.sanitize_utf8)
+_unaccent = kernel(K.unaccent)
+_sanitize_utf8 = kernel(K.sanitize_utf8)
 escape_ical = kernel(K.escape_ical)
 
 
+def unaccent(c: ColumnOrName) -> Column:
+    """Text without combining marks (letters with strokes stay); only texts beyond ASCII go to Python."""
+    ascii_ = _c(c).rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_, _c(c)).otherwise(_unaccent(F.when(~ascii_, _c(c))))
+
+
+def sanitize_utf8(c: ColumnOrName) -> Column:
+    """Text or bytes without NUL, U+FFFE, U+FFFF and whatever is no valid UTF-8; only what is not valid goes to Python."""
+    text = _c(c).cast("string")
+    valid = F.is_valid_utf8(text)
+    return F.when(valid, F.translate(text, "\x00\ufffe\uffff", "")).otherwise(_sanitize_utf8(F.when(~valid, _c(c))))
+
+
 def to_name(c: ColumnOrName) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.replace(normalize(_c(c)), F.lit("@"), F.lit("_at_")), "[^a-z0-9]", "_"), "_+", "_")
     bare = F.btrim(bare, F.lit("_"))
@@ -168,13 +184,15 @@ float_digits = kernel(K.float_digits)
 
 
 def frexp(c: ColumnOrName) -> Column:
-    """struct<mantissa, exponent>."""
-    kind = T.StructType([T.StructField("mantissa", T.DoubleType()), T.StructField("exponent", T.LongType())])
-    return kernel(_frexp, kind)(_c(c).cast("double"))
-
-
-def _frexp(x: float | None) -> dict | None:
-    return None if x is None else dict(zip(("mantissa", "exponent"), K.frexp(x), strict=True))
+    """struct<mantissa, exponent>: mantissa from 0.5 to below 1 (0, infinite and NaN as they are, with exponent 0)."""
+    x = _c(c).cast("double")
+    plain = (x != 0) & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    near = F.floor(F.log2(F.when(plain, F.abs(x))))
+    # Powers of two in two steps, since one alone can be out of range; the logarithm can be off by one.
+    scaled = lambda e: x / F.pow(F.lit(2.0), F.floor(e / 2)) / F.pow(F.lit(2.0), e - F.floor(e / 2))
+    exponent = near + F.when(F.abs(scaled(near)) >= 1, 1).when(F.abs(scaled(near)) < 0.5, -1).otherwise(0)
+    exponent = F.when(plain, exponent).otherwise(0).cast("bigint")
+    return F.when(x.isNotNull(), F.struct(F.when(plain, scaled(exponent)).otherwise(x).alias("mantissa"), exponent.alias("exponent")))
 
 
 def int_pow(base: ColumnOrName, n: int) -> Column:

@@ -28,10 +28,10 @@ KERNELS = {
     "normalize_text": strings.normalize,
     "os_filename": net.os_filename,
     "sanitize_uri": html.sanitize_uri,
-    "sanitize_utf8": strings.sanitize_utf8,
+    "sanitize_utf8": strings._sanitize_utf8,
     "svg_sanitize": html.svg_sanitize,
     "ubf_decode": serial.ubf_decode,
-    "unaccent": strings.unaccent,
+    "unaccent": strings._unaccent,
     "unescape_html": html.unescape,
     "url_metadata": metadata._metadata,
 }
