@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.oracle import same
-from textloom.llm import ann, chat, decontaminate, near_dup, token_store
+from textloom.llm import ann, chat, decontaminate, near_dup, quality, token_store
 from textloom.llm import substring_dedup as substring
 from textloom.llm.ann import _search, nearest
 from textloom.llm.decontaminate import decontaminated, decontamination
@@ -206,6 +206,57 @@ def test_quality_on_held_out_labels(spark):
     assert sum(kept) / len(kept) > 0.95
 
 
+def _document_by_document(patterns, counts, rounds=200):
+    """The same expectation maximisation, written for one document and one labeller at a time."""
+    rows = [p for p, c in zip(patterns, counts, strict=True) for _ in range(c)]
+    m, n = len(rows[0]), len(rows)
+    share = []
+    for p in rows:
+        x = [0.03 if 2 in p else 30.0, *((v == 2) + 1e-4 for v in p)]
+        share.append([y / sum(x) for y in x])
+    for _ in range(rounds):
+        prior, rates = [], []
+        for k in range(m + 1):
+            prior.append((sum(s[k] for s in share) + 1) / (n + m + 1))
+            strength = n if k == 0 else 1
+            first = [0.001 if k == 0 else 0.9 if j == k - 1 else 0.1 for j in range(m)]
+            rates.append([(sum(s[k] for s, p in zip(share, rows, strict=True) if p[j] == 2) + strength * first[j]) / (sum(s[k] for s, p in zip(share, rows, strict=True) if p[j]) + strength) for j in range(m)])
+        new = []
+        for p in rows:
+            x = [prior[k] * np.prod([1.0 if not v else rates[k][j] if v == 2 else 1 - rates[k][j] for j, v in enumerate(p)]) for k in range(m + 1)]
+            new.append([y / sum(x) for y in x])
+        moved = max(abs(a - b) for s, t in zip(share, new, strict=True) for a, b in zip(s, t, strict=True))
+        if moved < 1e-9:
+            break
+        share = new
+    return {p: 1 - s[0] for p, s in zip(rows, share, strict=True)}, rates
+
+
+def test_expectation_maximisation_document_by_document():
+    draw = np.random.default_rng(2)
+    votes_ = [tuple(int(v) for v in draw.choice([0, 1, 1, 1, 2], 3)) for _ in range(60)]
+    patterns = sorted(set(votes_))
+    counts = [votes_.count(p) for p in patterns]
+    want, rates = _document_by_document(patterns, counts)
+    got, found = quality.posteriors(np.array(patterns), np.array(counts, float))
+    assert np.allclose(got, [want[p] for p in patterns], atol=1e-6)
+    assert np.allclose(found, rates, atol=1e-6)
+
+
+def test_planted_labellers():
+    """Labellers of known accuracy: each sees bad text of its own kind in 90 of 100 cases, and is wrong about good text in 1 of 100."""
+    draw, n = np.random.default_rng(4), 40_000
+    kind = np.where(draw.random(n) < 0.7, 0, draw.integers(1, 5, n))
+    bad = draw.random((n, 4)) < np.where(np.arange(1, 5) == kind[:, None], 0.9, np.where(kind[:, None] == 0, 0.01, 0.1))
+    votes_ = np.where(draw.random((n, 4)) < 0.1, 0, np.where(bad, 2, 1))
+    patterns, place, counts = np.unique(votes_, axis=0, return_inverse=True, return_counts=True)
+    got, rates = quality.posteriors(patterns, counts.astype(float))
+    assert np.abs(rates[np.arange(1, 5), np.arange(4)] - 0.9).max() < 0.1
+    assert rates[0].max() < 0.02
+    right = (got[place.reshape(-1)] > 0.5) == (kind > 0)
+    assert right.mean() > 0.93
+
+
 def test_quality_of_odd_rows(spark, docs):
     out = quality_classifier(docs)
     assert {"score_", "keep_", "votes", "n_words"} <= set(out.columns)

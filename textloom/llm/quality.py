@@ -184,7 +184,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> Model:
     """Weak labels from all documents with words, and a scorer fitted on at most `sample` of them.
 
-    With no documents, or none with words, every text with words scores 0.5 and is kept.
+    Which documents are sampled is decided by a hash of the id and the first 100 characters; texts are
+    read whole.  With no documents, or none with words, every text with words scores 0.5 and is kept.
     """
     rows = docs.select(F.xxhash64(col(id_col).cast("string"), F.substring(col(text_col), 1, 100)).alias("h"), col(text_col).cast("string").alias("text")).where("text is not null")
     facts = written(rows.mapInArrow(_facts, "h bigint, votes string, dims array<int>, vals array<float>").where(F.size("dims") > len(LABELLERS)))
