@@ -66,7 +66,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = own.join(F.broadcast(items), ["h", "view"]).where(cut("slots") == F.col("item_slots")).withColumn("values", cut("base"))
     else:
         # Only hashes are shuffled; the words of the documents that match come by a second join.
-        narrow = own.select("id", "tag", "view", "at", "h").join(items, ["h", "view"])
+        narrow = own.where("at is not null").select("id", "tag", "view", "at", "h").join(items, ["h", "view"])
         hit = narrow.select(F.col("id").alias("h_id"), F.col("tag").alias("h_tag"), F.col("view").alias("h_view")).distinct()
         words = docs.join(hit, docs["id"].eqNullSafe(hit["h_id"]) & (docs["tag"] == hit["h_tag"]) & (docs["view"] == hit["h_view"]), "left_semi")
         words = words.withColumn("base", base_words(F.coalesce("text", F.lit("")))).select("id", "tag", "view", F.split("base", " ").alias("base"), F.split(template(F.col("base")), " ").alias("slots"))
