@@ -34,7 +34,7 @@ from .shared import col, partitions, written
 
 TREES, DEPTH = 24, 64
 #: Queries that the budget is fitted on at most, and the share of their neighbours that it must meet.
-FITTED, GOAL = 256, 0.94
+FITTED, GOAL = 256, 0.93
 #: The budget is this many times the wanted neighbours at least: each of them can be met in all trees, and the query itself too.
 LEAST = 2 * TREES
 #: Bands of norm at most; the last one holds all that is shorter.
