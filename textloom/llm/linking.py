@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], both_pivots: bool = True) -> DataFrame:
     """(key, id, weight) to (a, b): links that connect just what all verified pairs within keys connect.
 
-    members: written table; several rows of an id in a key do no harm.
+    members: written table, deleted when it has been used; several rows of an id in a key do no harm.
     verify: keeps the rows of an (a, b) table that are links.
     both_pivots: compare with the second pivot too; where verifying costs more than looking at more buckets again, one will do.
     across: from (key, id, part, main) of the buckets that still hold several components, candidate
@@ -59,6 +59,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: C
     """
     pivots = written(members.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("i"), F.col("id").alias("id"))).alias("heavy"), F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key", F.col("heavy.id").alias("low"), F.when(F.col("heavy.id") == F.col("high"), F.col("low")).otherwise(F.col("high")).alias("high")))
     busy = written(members.select("key", "id").join(pivots, "key"))
+    drop(members)
     pair = lambda x: F.struct(F.greatest("id", x).alias("a"), F.least("id", x).alias("b"))
     pairs = busy.select(F.explode(F.array(pair("low"), *[pair("high")] * both_pivots)).alias("p")).select("p.*").where("a != b").distinct()
     first = written(verify(pairs))

@@ -211,7 +211,7 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, perc
 
     part = written(components(link(members, checked, across)))
     own = written(classes.select("n", "h1", "h2", "id", "first_id", "first_tag"))
-    drop(members, names, classes)
+    drop(names, classes)
     linked = part.join(own, "id").select("id", "component", F.struct(F.col("first_id").alias("id"), F.col("first_tag").alias("tag")).alias("first"))
     leads = written(linked.groupBy("component").agg(F.min("first").alias("lead")))
     of = own.join(part, "id", "left").join(leads, "component", "left").select("n", "h1", "h2", F.coalesce("lead.id", "first_id").alias("lead_id"), F.coalesce("lead.tag", "first_tag").alias("lead_tag"))

@@ -28,7 +28,8 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: its lineage is cut, and losing an executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = df.write.option("compression", "zstd")
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     # No later query reads this one's shuffle files, so they go when it has ended.
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean, "false")
