@@ -635,6 +635,23 @@ def test_shards(spark, docs):
     assert json.dumps(_rows(out, *docs.columns)) == json.dumps(_rows(docs, *docs.columns))
 
 
+def test_the_shards_hold_the_documents(spark):
+    """Whole rows are in the files that the index is read from, a folder for each shard."""
+    out = QUERIES["op10_sharding"](spark, SF)
+    folder = out.inputFiles()[0].rsplit("/", 2)[0]
+    held, docs = spark.read.parquet(folder), spark.read.parquet(f"{SF}/documents.parquet")
+    assert set(held.columns) == {*docs.columns, "shard", "slot"}
+    assert _rows(held, *docs.columns) == _rows(docs, *docs.columns)
+    assert _rows(held, "doc_id", "shard", "slot") == _rows(out, "doc_id", "shard", "slot")
+
+
+def test_large_rows_make_more_buckets(spark):
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("t"), 1 << 20).alias("text"))
+    out = sharded(rows, bucket_rows=4096)
+    assert out.count() == 40
+    assert sum(1 for n in out.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n) > 4
+
+
 def test_the_order_depends_on_rows_and_seed_only(spark):
     rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 977).alias("text"))
     order = lambda df: [(r["shard"], r["slot"], r["doc_id"]) for r in df.orderBy("shard", "slot").collect()]

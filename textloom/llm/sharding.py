@@ -49,14 +49,15 @@ def shuffled(rows: DataFrame, shards: int, seed: int = 10, bucket_rows: int | No
     """(h1, h2, row, size) to (row, shard, slot), in order of place.
 
     h1 and h2 are seeded hashes of all that tells rows apart; rows that agree in both may change
-    places.  size: a row's bytes.  bucket_rows: rows of a bucket in the mean (default: BUCKET_BYTES).
+    places.  size: a row's bytes.  A bucket holds BUCKET_BYTES in the mean at most, and bucket_rows
+    where they are given.
     """
     spark = rows.sparkSession
     keys = written(rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     total = keys.agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("n").alias("most")).first()
     n = total["n"] or 0
-    buckets = math.ceil(n / bucket_rows) if bucket_rows else math.ceil((total["size"] or 0) / BUCKET_BYTES)
-    buckets = max(1, min(buckets, MOST_BUCKETS))
+    by_rows, by_bytes = math.ceil(n / bucket_rows) if bucket_rows else 1, math.ceil((total["size"] or 0) / BUCKET_BYTES)
+    buckets = max(1, min(max(by_rows, by_bytes), MOST_BUCKETS))
     counts = keys.where(F.col("n") <= OFTEN).select(_bucket(F.col("h1"), None, buckets).alias("bucket"), "n")
     held = rows.select(_bucket(F.col("h1"), None, buckets).alias("bucket"), "h1", "h2", "row")
     if (total["most"] or 0) > OFTEN:
@@ -82,23 +83,23 @@ def shuffled(rows: DataFrame, shards: int, seed: int = 10, bucket_rows: int | No
 def shard_index(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 10, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs.
 
-    size: UTF-8 bytes of the text (null: none) plus 1.  law: `rows`.  slot: the row's place in its
-    shard, from 0 without gaps.  Null ids, null texts and repeated rows are rows like all others; an
-    empty table gives an empty one.  Other columns are not looked at.
+    The shards are written with all columns, a folder for each, and the rows are told from what is
+    read back.  size: UTF-8 bytes of the text (null: none) plus 1.  law: `rows`.  slot: the row's
+    place in its shard, from 0 without gaps.  Null ids, null texts and repeated rows are rows like
+    all others; an empty table gives an empty one.
     """
+    shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
+    out = written(sharded(docs, shards, seed, bucket_rows), shard)
     text = F.encode(F.coalesce(col(text_col).cast("string"), F.lit("")), "UTF-8")
-    rows = docs.select(col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = written(rows)
-    hashed = [F.xxhash64(F.lit(seed + s), "id", "size", "text_crc32").alias(f"h{s + 1}") for s in range(2)]
-    out = shuffled(rows.select(*hashed, F.struct("id", "size", "text_crc32").alias("row"), F.lit(24).cast("bigint").alias("size")), shards, seed, bucket_rows)
-    return out.select(F.col("row.id").alias(id_col), "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(text) + 1).cast("bigint").alias("size")
+    return out.select(col(id_col), size, F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def sharded(docs: DataFrame, shards: int = 16, seed: int = 10, bucket_rows: int | None = None) -> DataFrame:
     """docs in shard order, all columns and shard, slot (with underscores where the names are taken).
 
-    Whole rows are scattered once, into buckets of bucket_rows in the mean (default: by the size of
-    their text and binary columns).  Equal rows and nulls are rows like all others; an empty table
+    Whole rows are scattered once, into buckets by the size of their text and binary columns, of
+    bucket_rows in the mean at most.  Equal rows and nulls are rows like all others; an empty table
     stays empty.
     """
     shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
