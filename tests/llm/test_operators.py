@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import same
 from textloom.llm import ann, chat, decontaminate, near_dup, quality, token_store
+from textloom.llm import line_dedup as line_dedup_of
 from textloom.llm import substring_dedup as substring
 from textloom.llm.ann import _search, nearest
 from textloom.llm.decontaminate import decontaminated, decontamination
@@ -157,6 +158,24 @@ def test_bins_near_the_largest_int(spark):
     assert got == {i: [0] if i < len(top) else [] for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("half", [False, True])
+def test_signatures_rule_out_no_link_and_most_others(spark, half):
+    """Short lines too, which meet in many buckets, are told apart before their texts are read."""
+    draw, texts = np.random.default_rng(9), []
+    for n in range(8, 88):
+        line = "".join(draw.choice(list("abcdefgh "), n)).strip() + "."
+        texts += [line, line + "x", line[:-1] + "ab", line[: n // 2]]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id bigint, line string")
+    signed = line_dedup_of._signed(lines)
+    signed = (line_dedup_of._halved(signed) if half else signed).cache()
+    both = signed.alias("x").join(signed.alias("y"), F.col("x.id") < F.col("y.id"))
+    passed = {(r["a"], r["b"]) for r in both.where(line_dedup_of._agree("x", "y", 80, half)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()}
+    grams = [{x[k : k + SHINGLE] for k in range(max(1, len(x) - SHINGLE + 1))} for x in texts]
+    linked = {(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])}
+    assert len(linked) > 100 and linked <= passed
+    assert len(passed - linked) < 0.02 * len(texts) * (len(texts) - 1) / 2
+
+
 def test_lines_of_odd_rows(spark, docs):
     got = {r["doc_id"]: (r["n_lines"], sorted(r["kept_lines"])) for r in line_dedup(docs).collect()}
     assert got[4] == (0, [])
