@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.oracle import same
-from textloom.llm import ann, chat, decontaminate, near_dup, quality, token_store
+from textloom.llm import ann, chat, decontaminate, linking, near_dup, quality, token_store
 from textloom.llm import line_dedup as line_dedup_of
 from textloom.llm import substring_dedup as substring
 from textloom.llm.ann import _search, nearest
@@ -176,6 +177,27 @@ def test_signatures_rule_out_no_link_and_most_others(spark, half):
     assert len(passed - linked) < 0.02 * len(texts) * (len(texts) - 1) / 2
 
 
+def test_scratch_tables_of_lines(spark, monkeypatch):
+    """Lines that are like no other: signatures stay narrow, and no bucket of one line is written."""
+    draw, peak = np.random.default_rng(11), []
+    syllables = ["".join(x) for x in draw.choice(list("abcdefghijklmnop"), (400, 3))]
+    texts = ["".join(draw.choice(syllables, 60)) for _ in range(20_000)]
+    folder = Path(line_dedup_of.written(spark.range(1)).inputFiles()[0].removeprefix("file://")).parents[1]
+    used = lambda: sum(x.stat().st_size for x in folder.rglob("*.parquet"))
+    before, written = used(), linking.written
+
+    def watched(*x):
+        out = written(*x)
+        peak.append(used() - before)
+        return out
+
+    monkeypatch.setattr(line_dedup_of, "written", watched)
+    monkeypatch.setattr(linking, "written", watched)
+    got = line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert max(peak) < 1.2 * sum(map(len, texts))
+    assert got.where("size(kept_lines) < n_lines").isEmpty()
+
+
 def test_lines_of_odd_rows(spark, docs):
     got = {r["doc_id"]: (r["n_lines"], sorted(r["kept_lines"])) for r in line_dedup(docs).collect()}
     assert got[4] == (0, [])
