@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -465,6 +466,24 @@ def test_long_documents_and_many_units(vocabulary, monkeypatch):
         assert r["id"] == i and r["ids"] == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_known_words_take_little_memory(vocabulary):
+    """A worker keeps the words of its tasks: their letters, their ids and a few bytes."""
+    draw = np.random.default_rng(12)
+    texts = [" ".join(map("".join, draw.choice(list("abcdefghijklmnop"), (10_000, 6)))) for _ in range(20)]
+    encoder = token_store.Encoder(vocabulary)
+    tracemalloc.start()
+    before, held = tracemalloc.get_traced_memory()[0], pa.total_allocated_bytes()
+    for text in texts:
+        ids, n = encoder.encode(pa.array([text]))
+        assert n.tolist() == [len(ids)]
+    assert ids.tolist() == encoder.tokenizer.encode(texts[-1], add_special_tokens=False).ids
+    del ids
+    kept = tracemalloc.get_traced_memory()[0] - before + pa.total_allocated_bytes() - held
+    tracemalloc.stop()
+    assert len(encoder.known) > 190_000
+    assert kept < 100 * len(encoder.known)
+
+
 def test_blocks_by_themselves():
     ids = np.random.default_rng(1).integers(0, 900, 5000).astype(np.uint32)
     unit = token_store.compress(ids)

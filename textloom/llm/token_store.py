@@ -20,6 +20,7 @@ blocks of a unit side by side, one id of each in a step, and a reader can begin
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ UNIT, BLOCK, BITS, LOW = 2_000_000, 1024, 20, 31
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_200_000
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -55,66 +56,87 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Ids of a word with a space before it; None if it cannot be told without its text.
-        self.known: dict[str, bytes | None] = {}
-        self.blank = np.frombuffer(self._ids(["\n\n"])[0], "<u4")
+        self.blank = self._ids(["\n\n"])[0]
         if len(self.blank) != 1:
             raise ValueError("a blank line must be a single id of this tokenizer")
+        self._forget()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        """The words that were met, the ids of each with a space before it (from start on in flat) and their number, -1 if they cannot be told without the word's text."""
+        self.known, self.flat = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        # A few at a time: the library keeps much more than the ids of each text.
+        few = (self.tokenizer.encode_batch_fast(texts[i : i + 100], add_special_tokens=False) for i in range(0, len(texts), 100))
+        return [np.asarray(e.ids, "<u4") for batch in few for e in batch]
+
+    def _learn(self, words: pa.Array) -> None:
         """Encodes words with a space before each, a thousand in one text: a blank line always is a single id of its own there."""
-        odd = [x for x in words if not x or x[0].isspace() or x[-1].isspace()]
-        self.known.update(dict.fromkeys(odd))
-        words = [x for x in words if x not in self.known]
-        alone = [x for x in words if "\n\n" in x or any(t in x for t in self.special)]
-        self.known.update(zip(alone, self._ids([f" {x}" for x in alone]), strict=True))
-        if alone:
-            words = [x for x in words if x not in self.known]
-        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for group, flat in zip(groups, self._ids(["\n\n".join(f" {x}" for x in g) for g in groups]), strict=True):
-            ids = np.frombuffer(flat, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.blank), len(ids)) * 4
-            starts = np.append(0, ends[:-1] + 4)
-            self.known.update((x, flat[a:b]) for x, a, b in zip(group, starts.tolist(), ends.tolist(), strict=True))
+        odd = np.zeros(len(words), bool)
+        for begin, end in ((0, 1), (-1, None)):
+            ends = pc.utf8_slice_codeunits(words, begin, end).dictionary_encode()
+            odd |= np.array([not x or x.isspace() for x in ends.dictionary.to_pylist()], bool)[np.asarray(ends.indices)]
+        alone = np.zeros(len(words), bool)
+        for x in ("\n\n", *self.special):
+            alone |= np.asarray(pc.match_substring(words, x))
+        alone &= ~odd
+        several = words.filter(pa.array(~odd & ~alone))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(several), 1000), len(several)), pa.int32()), several)
+        joined = [f" {x}" for x in pc.binary_join(lists, "\n\n ").to_pylist()] if len(several) else []
+        singles = [f" {x}" for x in words.filter(pa.array(alone)).to_pylist()]
+        ids = self._ids(joined + singles)
+        flat = np.concatenate([np.zeros(0, "<u4"), *(y for x in ids[: len(joined)] for y in (x, self.blank))])
+        ends = np.flatnonzero(flat == self.blank)
+        if len(ends) != len(several):
+            raise ValueError("a blank line must be a single id of this tokenizer")
+        size, start = np.full(len(words), -1, np.int32), np.zeros(len(words), np.int64)
+        plain = ~odd & ~alone
+        start[plain] = np.append(0, ends + 1)[:-1]
+        size[plain] = ends - start[plain]
+        size[alone] = [len(x) for x in ids[len(joined) :]]
+        start[alone] = len(flat) + np.cumsum(size[alone]) - size[alone]
+        self.start = np.append(self.start, start + len(self.flat))
+        self.size = np.append(self.size, size)
+        self.flat = np.concatenate([self.flat, flat, *ids[len(joined) :]])
+        self.known = pa.concat_arrays([self.known, words])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of each text's."""
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self._forget()
         pieces = pc.split_pattern(texts, " ")
         coded = pieces.values.dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        words, index = coded.dictionary.cast(pa.string()), np.asarray(coded.indices)
         heads = np.asarray(pieces.offsets)[:-1].astype(np.int64)
         later = np.ones(len(index), bool)
         later[heads] = False
         used = np.bincount(index[later], minlength=len(words)) > 0
-        inner = [x for x, u in zip(words, used.tolist(), strict=True) if u]
-        self._learn([x for x in inner if x not in self.known])
-        each = [self.known[x] for x in inner]
+        inner = words.filter(pa.array(used))
+        place = pc.index_in(inner, value_set=self.known)
+        new = np.asarray(pc.is_null(place))
+        at = np.asarray(pc.fill_null(place, 0)).astype(np.int64)
+        at[new] = len(self.known) + np.arange(int(new.sum()))
+        self._learn(inner.filter(pa.array(new)))
         # Pieces at a text's beginning have no space before them; texts that cannot be cut are one such piece.
-        odd = np.zeros(len(words), bool)
-        odd[used] = [x is None for x in each]
-        whole = np.add.reduceat((odd[index] & later).astype(np.int64), heads) > 0
+        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        size[used], start[used] = self.size[at], self.start[at]
+        whole = np.add.reduceat(((size[index] < 0) & later).astype(np.int64), heads) > 0
         for t in self.special:
             whole |= np.asarray(pc.match_substring(texts, t))
-        first = [words[i] for i in index[heads].tolist()]
+        first = words.take(pa.array(index[heads])).to_pylist()
         whole |= np.array([not x or x[-1].isspace() for x in first])
         begin = self._ids([texts[r].as_py() if w else x for r, (x, w) in enumerate(zip(first, whole.tolist(), strict=True))])
-        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        size[used] = [len(x or b"") // 4 for x in each]
-        start[used] = np.cumsum(size[used]) - size[used]
         n, at = size[index], start[index]
         n[np.repeat(whole, np.diff(np.append(heads, len(index))))] = 0
-        n[heads] = [len(x) // 4 for x in begin]
-        at[heads] = size[used].sum() + np.cumsum(n[heads]) - n[heads]
-        flat = np.frombuffer(b"".join([*(x or b"" for x in each), *begin]), "<u4")
-        ids = flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        return ids, np.add.reduceat(n, heads)
+        n[heads] = [len(x) for x in begin]
+        at[heads] = len(self.flat) + np.cumsum(n[heads]) - n[heads]
+        flat = np.concatenate([self.flat, *begin])
+        place = np.repeat(at - (np.cumsum(n) - n), n)
+        place += np.arange(len(place))
+        return flat[place], np.add.reduceat(n, heads)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -204,6 +226,8 @@ SCHEMA = ", ".join(f"{k} {'int' if t == pa.int32() else 'bigint' if t == pa.int6
 
 
 def _units(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    # A task has one core: the library's own threads would only wait for it.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     # Kept between the tasks of a worker, with the words it has met.
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
     part, unit = TaskContext.get().partitionId(), 0
