@@ -178,6 +178,71 @@ def test_signatures_rule_out_no_link_and_most_others(spark, half):
     assert len(passed - linked) < 0.02 * len(texts) * (len(texts) - 1) / 2
 
 
+def _grams(text):
+    return {text[k : k + SHINGLE] for k in range(max(1, len(text) - SHINGLE + 1))}
+
+
+def test_parity_maps_rule_out_no_link_and_most_lines_below_the_threshold(spark):
+    draw, texts, similar = np.random.default_rng(13), [], {}
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    for n in (3, 30, 100, 300, 600, 1500, 6000):
+        for share in (0.0, 0.02, 0.03, 0.05, 0.05, 0.055, 0.08, 0.12, 0.2):
+            line = draw.choice(letters, n)
+            other = np.where(draw.random(n) < share, draw.choice(letters, n), line)
+            texts += ["".join(line), "".join(other)]
+            x, y = map(_grams, texts[-2:])
+            similar[len(texts) - 2] = len(x & y) / len(x | y)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, line string")
+    own = line_dedup_of._parities(rows).cache()
+    assert {r["id"]: r["size"] for r in own.collect()} == {i: len(_grams(x)) for i, x in enumerate(texts)}
+    both = own.alias("x").join(own.alias("y"), F.expr("x.id % 2 = 0 and y.id = x.id + 1"))
+    passed = {r["id"] for r in both.where(line_dedup_of._alike("x", "y", 80)).select("x.id").collect()}
+    linked = {i for i, j in similar.items() if j >= 0.8}
+    assert len(linked) > 20 and linked <= passed
+    assert not [i for i in passed if len(texts[i]) <= 600 and similar[i] < (0.7 if len(texts[i]) <= 300 else 0.65)]
+
+
+def test_lines_around_a_group_make_few_pairs(spark, monkeypatch):
+    """Many copies of a line, and as many lines that are nearly, but not quite, linked with each of them: hardly any pair of both is verified."""
+    draw, texts, made = np.random.default_rng(14), [], []
+    line = draw.choice(list("abcdefghijklmnopqrstuvwxyz "), 300)
+    for edits in [2] * 100 + [12] * 100:
+        x = line.copy()
+        x[np.arange(edits) * (290 // edits) + 5 + draw.integers(0, 290 // edits - 5, edits)] = "Z"
+        texts.append("a" + "".join(x) + "z")
+    link = linking.link_to_pivots
+
+    def watched(busy, verify, across):
+        def counted(rows):
+            pairs = across(rows)
+            made.append(pairs.count())
+            return pairs
+
+        return link(busy, verify, counted)
+
+    monkeypatch.setattr(line_dedup_of, "link_to_pivots", watched)
+    rows = [(i, x) for i, x in enumerate(texts)]
+    got = {r["doc_id"]: list(r["kept_lines"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {(i, 0) for i in got if not got[i]} == _line_classes(rows)
+    assert len(_line_classes(rows)) == 99 and made[0] < 1000
+
+
+def test_pivots_are_not_looked_at_again(spark):
+    """A bucket of two lines is done when one has met the other; in larger ones everyone has met the pivot."""
+    seen, none = [], "a bigint, b bigint"
+    busy = linking.written(spark.createDataFrame([(1, 10, 10), (1, 11, 10), (2, 12, 12), (2, 13, 12), (2, 14, 12), (3, 15, 15), (3, 16, 15), (3, 17, 15)], "key bigint, id bigint, low bigint"))
+
+    def verify(pairs):
+        return pairs.where("a = 17 and b = 15 or a = 14 and b = 13")
+
+    def across(rows):
+        seen.extend((r["key"], r["id"]) for r in rows.collect())
+        return spark.createDataFrame([(14, 13)], none)
+
+    assert _rows(linking.link_to_pivots(busy, verify, across), "a", "b") == [(14, 13), (17, 15)]
+    assert sorted(seen) == [(2, 13), (2, 14), (3, 16), (3, 17)]
+
+
 def test_scratch_tables_of_lines(spark, monkeypatch):
     """Lines that are like no other: signatures stay narrow, and no bucket of one line is written."""
     draw, peak = np.random.default_rng(11), []
