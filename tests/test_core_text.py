@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -180,3 +181,27 @@ _TERMS = st.recursive(st.none() | st.booleans() | st.integers() | st.text(st.cha
 def test_ubf_round_trip(term):
     data = B.dumps(B.from_json(B.to_json(term)))
     assert B.to_json(B.loads(data)[0]) == B.to_json(term)
+
+
+def _ical_by_bytes(text):
+    out, used = bytearray(), 0
+    for b in text.replace("\r\n", "\n").encode():
+        piece, cost = {10: (b"\\n", 2), 9: (b" ", 1), 58: (b"\\:", 3)}.get(b, (b"\\" + bytes([b]), 2) if b in b'",;\\' else (bytes([b]), 1))
+        if used >= 70:
+            out += b"\r\n "
+            used = 0
+        out += piece
+        used += cost
+    return out.decode("utf-8", "replace")
+
+
+@settings(max_examples=200)
+@given(st.text(alphabet="ab\\:\n\t\",;\r\xe9€", max_size=400))
+def test_ical_by_bytes(text):
+    assert T.escape_ical(text) == _ical_by_bytes(text)
+
+
+def test_ical_of_a_long_text():
+    text, begun = "One: two, three; four\\five\n" * 100_000, time.process_time()
+    T.escape_ical(text)
+    assert time.process_time() - begun < 1
