@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core import metadata as K
 from .strings import ColumnOrName, _c, trim
-from .udf import BOOL, LONG, TEXT, struct
+from .udf import BOOL, LONG, TEXT, kernel3, struct
 from .urls import site_name
 
 _PAIRS = T.ArrayType(struct(name=TEXT, value=TEXT))
@@ -30,15 +29,16 @@ METADATA = struct(
 
 
 def _pairs(headers: Any) -> Iterable[tuple[str, str]] | None:
-    if headers is None or isinstance(headers, float):
+    if headers is None:
         return None
     return [(h["name"], h["value"]) for h in headers if h["name"] is not None and h["value"] is not None]
 
 
-@F.pandas_udf(METADATA)
-def _metadata(url: pd.Series, headers: pd.Series, body: pd.Series) -> pd.DataFrame:
-    rows = [K.metadata(u, _pairs(h), b) or {} for u, h, b in zip(url, headers, body, strict=True)]
-    return pd.DataFrame({f: pd.Series([r.get(f) for r in rows], dtype=object) for f in METADATA.names})
+def _row(url: str | None, headers: Any, body: str | bytes | None) -> dict | None:
+    return K.metadata(url, _pairs(headers), body)
+
+
+_metadata = kernel3(_row, METADATA)
 
 
 def url_metadata(url: ColumnOrName, body: ColumnOrName, headers: ColumnOrName | None = None) -> Column:
